@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import byte_bpe, pii, quality_rules, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as shards and read back."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    manifest = token_store.write_store(docs, _vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_store.read_store(spark, manifest)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -31,5 +44,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op6_quality_rules)}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return byte_bpe.digests(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op6_quality_rules, op7_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
