@@ -1,0 +1 @@
+"""No operator here works on streams; the batch operators are also the unit of work for a micro-batch."""
