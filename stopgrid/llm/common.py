@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopgrid.plans.storage import scratch, shared_dir, written  # noqa: F401
+
 #: A join key with more rows than total / HEAVY_SHARE is handled by broadcast; at most HEAVY_SHARE keys can be.
 HEAVY_SHARE = 10_000
 #: Rows of a key table (at most three longs each) up to which it is broadcast whole.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,3 +50,17 @@ def prefix_sums(lens: Column, block: int = 512) -> Column:
     starts = run(totals, zero)
     whole = F.flatten(F.zip_with(blocks, starts, run))
     return F.when(n == 0, empty).when(n <= block, run(lens, zero)).otherwise(whole)
+
+
+def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join where ``right`` has one row for each key, and ``count`` tells how many rows of ``left`` have it.
+
+    Keys with more than total / HEAVY_SHARE rows, at most HEAVY_SHARE of them,
+    are broadcast; each of the others sends at most that many rows to a task.
+    """
+    most = max(1000, total // HEAVY_SHARE)
+    hot = F.broadcast(right.where(F.col(count) > most).withColumn("__hot", F.lit(True)))
+    light = right.where(F.col(count) <= most)
+    marked = left.join(hot, keys, "left")
+    made = [c for c in right.columns if c not in keys]
+    return marked.where("__hot").drop("__hot").unionByName(marked.where("__hot is null").drop("__hot", *made).join(light, keys))

@@ -1,9 +1,9 @@
 """Quality rules: per-text counts, and lines that too many documents of a host share.
 
-DataFrame functions only. Lines are normalised (outer white space off, A-Z
+DataFrame functions only. Lines are normalised (outer white space off,
 lower-cased) and hashed to 128 bits; for each host the documents holding a line
-are counted; lines above the limit are removed and documents that keep too few
-words are rejected. Copies of one document count once per host: documents with
+are counted; lines above the limit are removed and documents that keep too little
+are rejected. Copies of one document count once per host: documents with
 the same longest line are one.
 
 Skew: the counts are hash aggregates with partial sums, so a hot host or line
@@ -26,11 +26,10 @@ from .common import BROADCAST_ROWS, HEAVY_SHARE, text_of, written
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Documents of one host that may hold a line.
 MAX_DOCS = 200
-#: A document whose words are left to less than this share by the removal of lines is rejected.
+#: A document whose characters are left to less than this share by the removal of lines is rejected.
 LEAST_LEFT = 0.2
 
 
@@ -73,18 +72,17 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def line_table(docs: DataFrame, key: list[str], host: str, text: str) -> DataFrame:
     """A row for each distinct line of each document row, by 128-bit hash, and one with null hashes for the row itself."""
-    line = F.translate(F.btrim(F.col("__line"), F.lit(SPACE)), UPPER, LOWER)
+    line = F.lower(F.btrim(F.col("__line"), F.lit(SPACE)))
     lines = F.split(text_of(text), "\n", -1)
     rows = docs.select(*key, F.col(host).alias("__host"), lines.alias("__lines"))
     rows = rows.withColumn("__sig", F.xxhash64(F.array_max(F.transform("__lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]))
     rows = rows.withColumn("__line", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("__lines")))).drop("__lines")
     rows = rows.withColumn("__line", line)
-    n = F.when(F.col("__line") == "", 0).otherwise(F.size(F.split(F.col("__line"), SPACES)))
     return rows.where(F.col("__line").isNull() | (F.col("__line") != "")).select(
         *key, "__host", "__sig",
         F.when(F.col("__line").isNotNull(), F.xxhash64("__line")).alias("__a"),
         F.when(F.col("__line").isNotNull(), F.xxhash64(F.lit(1), F.col("__line"))).alias("__b"),
-        F.when(F.col("__line").isNotNull(), n).otherwise(0).cast("long").alias("__n"),
+        F.coalesce(F.length("__line"), F.lit(0)).cast("long").alias("__n"),
     )
 
 
@@ -96,8 +94,8 @@ def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def rule_verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """``docs`` with the columns of ``text_counts``, n_line_words (words in lines above the limit) and kept."""
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")]
+    """``docs`` with the columns of ``text_counts``, n_line_chars (code points of its lines above the limit) and kept."""
+    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_chars", "kept")]
     base = docs.select(*own).withColumn("__id", F.col(doc_id)).withColumn("__th", F.xxhash64(text_of(text)))
     lines = line_table(base, ["__id", "__th"], host, text)
     found = written(frequent_lines(lines, max_docs), "frequent_lines")
@@ -118,14 +116,15 @@ def rule_verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
         removed = marked.where("__hot").select("__id", "__host", "__th", "__n").unionByName(rest.join(light, on(rest, light)).select("__id", "__host", "__th", "__n"))
     out = text_counts(base, text)
     if removed is None:
-        out = out.withColumn("n_line_words", F.lit(0).cast("long"))
+        out = out.withColumn("n_line_chars", F.lit(0).cast("long"))
     else:
         by = ["__id", "__host", "__th"]
         # Rows that are repeated in docs add up; each row's share is the sum by the number of such rows.
         touched = removed.groupBy(*by).agg(F.sum("__n").alias("__n"))
         twins = base.groupBy(F.col("__id"), F.col(host).alias("__host"), F.col("__th")).agg(F.count("*").alias("__c"))
-        per = touched.join(twins, [touched[c].eqNullSafe(twins[c]) for c in by]).select(*[touched[c].alias(f"{c}_") for c in by], (F.col("__n") / F.col("__c")).cast("long").alias("n_line_words"))
+        per = touched.join(twins, [touched[c].eqNullSafe(twins[c]) for c in by]).select(*[touched[c].alias(f"{c}_") for c in by], (F.col("__n") / F.col("__c")).cast("long").alias("n_line_chars"))
         cond = F.col("__id").eqNullSafe(F.col("__id_")) & F.col(host).eqNullSafe(F.col("__host_")) & (F.col("__th") == F.col("__th_"))
-        out = out.join(per, cond, "left").drop("__id_", "__host_", "__th_").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
-    depleted = (F.col("n_words") - F.col("n_line_words")) < F.lit(least_left) * F.col("n_words")
+        out = out.join(per, cond, "left").drop("__id_", "__host_", "__th_").withColumn("n_line_chars", F.coalesce("n_line_chars", F.lit(0).cast("long")))
+    n = F.length(text_of(text))
+    depleted = (n - F.col("n_line_chars")) < F.lit(least_left) * n
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__id", "__th")

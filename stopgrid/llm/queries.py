@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, pii, quality_rules, token_store
+from . import byte_bpe, decontaminate, pii, quality_rules, simhash, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), shingle=3, bits=3)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return quality_rules.rule_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")
+    return quality_rules.rule_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_chars", "kept")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +69,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op6_quality_rules, op7_byte_bpe, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op6_quality_rules, op7_byte_bpe, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -97,9 +97,9 @@ def test_rules_reject_depleted(spark, monkeypatch):
         monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
         monkeypatch.setattr(quality_rules, "HEAVY_SHARE", 2)
         out = quality_rules.rule_verdicts(table(spark, rows, kept=1), max_docs=5).collect()
-        by = Counter((r.doc_id, r.n_line_words, r.kept) for r in out)
+        by = Counter((r.doc_id, r.n_line_chars, r.kept) for r in out)
         assert len(out) == len(rows)
-        assert by[(1, 60, True)] == 2
+        assert by[(1, len(line), True)] == 2
         # the shared line is the longest of the short documents, so those count as one; the long ones make it frequent
-        assert all(r.n_line_words == 60 for r in out) and {r.kept for r in out if r.doc_id % 2 == 0} == {False}
+        assert all(r.n_line_chars == len(line) for r in out) and {r.kept for r in out if r.doc_id % 2 == 0} == {False}
     assert quality_rules.rule_verdicts(table(spark, [])).count() == 0
