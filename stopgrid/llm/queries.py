@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, pii, quality_rules, simhash, token_store
+from . import byte_bpe, decontaminate, line_dedup, pii, quality_rules, simhash, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), shingle=3, bits=3)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many documents hold."""
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
@@ -69,5 +75,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op6_quality_rules, op7_byte_bpe, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
