@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, pii, quality_rules, simhash, token_store
+from . import byte_bpe, decontaminate, line_dedup, pii, quality_rules, simhash, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op9_decontamination)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 100 bytes that also start earlier."""
+    out = suffix_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op9_decontamination, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
