@@ -41,7 +41,7 @@ from .common import parallel, scratch, small_batches, written
 MAGIC = b"TIDS1\n\0\0"
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 20_000, 32_768
 #: Words kept with their ids by each Python worker, in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 MANIFEST = "shard int, file string, n_docs bigint, n_tokens bigint, n_bytes bigint, dict_sha256 string"
 
 
@@ -50,43 +50,76 @@ def _open(path: str):
     return fs, at
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library.
+def _visible_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Ids of texts by the tokenizers library: a mapping from pieces to ids that fills itself.
 
     This vocabulary drops white space and no token crosses it, so the pieces
-    between spaces and line ends are encoded once and kept. Strings of special
-    tokens in a text are ordinary text.
+    between spaces and line ends are encoded once and kept, in two generations
+    of CACHE_WORDS. A piece of Latin letters, with or without marks after it,
+    needs none of the library's normalizer and splitter but lower case: its
+    letters go to the library's model at once. All other pieces take the whole
+    way. Strings of special tokens in a text are ordinary text.
     """
 
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: The first letter after the Latin ones whose composed and lower-case forms are plain.
+    BEYOND = "\u0250"
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(vocabulary)
         self.tok.encode_special_tokens = True
         self.type = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.young, self.old = {}, {}
+        self.packed = struct.Struct("<H" if self.type == "<u2" else "<I").pack
+        self.model = self.tok.model
+        self.visible = _visible_bytes()
+        # Only for a pipeline of this kind may letters go to the model at once.
+        self.plain = all(x in self.tok.to_str()[:4000] for x in ('"normalizers":[{"type":"NFC"},', '{"type":"Lowercase"}', "|[\\\\p{L}]+|", '"use_regex":false', '"ignore_merges":false'))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            core = piece.rstrip(self.MARKS)
+            if len(core) < len(piece) and core.isalpha() and (core.isascii() or (max(core) < self.BEYOND and core.lower().isalpha())):
+                ids = self[core] + self[piece[len(core) :]]
+            else:
+                ids = self._letters(piece) if self.plain else None
+                if ids is None:
+                    ids = self._bytes(self.tok.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.packed, ids))
+
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters, or None if it is another kind of word."""
+        if not word.isalpha():
+            return None
+        low = word.lower()
+        if not low.isascii():
+            if max(word) >= self.BEYOND or not low.isalpha():
+                return None
+            low = low.encode().decode("latin-1").translate(self.visible)
+        return self._bytes([t.id for t in self.model.tokenize(low)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for w in [w for w in {w for p in parts for w in p} if w not in young]:
-            ids = old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                young[w] = ids
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, self.type).tobytes()
-        out = [b"".join([young[w] for w in p]) for p in parts]
-        for w in new:
-            if len(w) > 64:
-                del young[w]
-        return out
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
