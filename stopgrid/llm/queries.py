@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, pii, quality_rules, simhash, suffix_dedup, token_store
+from . import byte_bpe, decontaminate, language_id, line_dedup, pii, quality_rules, simhash, site_quality, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), shingle=3, bits=3)
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document, by itself and its site."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return site_quality.assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many documents hold."""
     out = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
@@ -63,6 +69,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = language_id.held_out()
+    model = language_id.train_model(docs.where(~held & F.col("doc_id").isNotNull()), language_id.vocabulary(_vocabulary("piece_bpe_32k.model")))
+    return language_id.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("doc_text"))
@@ -81,5 +95,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_simhash, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op9_decontamination, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_store, op2_pii, op3_simhash, op4_site_quality, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op8_language_id, op9_decontamination, op10_suffix_dedup)
+}
 ORACLE_SQL: dict[str, str] = {}
