@@ -145,19 +145,32 @@ def _pairs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0], x[:, 1]
 
 
-def _counted(docs: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): the number of documents with each key."""
+def _counted(docs: DataFrame, text: str, spare_copies: bool = False) -> DataFrame:
+    """(a, b, n): the number of documents with each key.
+
+    With ``spare_copies``, keys are left out of which at least half the documents
+    share their longest line: those are copies, perhaps with edits.
+    """
     small_batches(docs.sparkSession)
 
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [d for t in batch.column(0).to_pylist() for d in set(line_keys(t)[1]) if d]
+            found, sign = [], []
+            for t in batch.column(0).to_pylist():
+                lines, digests = line_keys(t)
+                own = {d for d in digests if d}
+                found += own
+                sign += [xxhash.xxh64_intdigest(max(lines, key=lambda x: (len(x), x))) >> 1 if spare_copies else 0] * len(own)
             a, b = _pairs(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sign, pa.int64())], ["a", "b", "s"])
 
-    return docs.select(text).mapInArrow(rows, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n"))
+    keys = docs.select(text).mapInArrow(rows, "a bigint, b bigint, s bigint")
+    if not spare_copies:
+        return keys.groupBy("a", "b").agg(F.count("*").alias("n"))
+    by = keys.groupBy("a", "b", "s").agg(F.count("*").alias("c")).groupBy("a", "b").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
+    return by.where((F.col("n") == 1) | (2 * F.col("top") < F.col("n"))).drop("top")
 
 
 def _shard(shards: int):
@@ -193,8 +206,9 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
     return written(keys.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, path string"), "filter_files")
 
 
-def build_state(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> LineState:
-    counts = written(_counted(docs, text), "line_counts")
+def build_state(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, spare_copies: bool = False) -> LineState:
+    """The state of ``docs``. One built with ``spare_copies`` lacks keys and can't be updated."""
+    counts = written(_counted(docs, text, spare_copies), "line_counts")
     over = counts.where(F.col("n") >= min_docs)
     n = over.count()
     shards = max(1, -(-n // SHARD_KEYS))
@@ -340,6 +354,6 @@ def drop_lines(docs: DataFrame, state: LineState, text: str = "text") -> DataFra
     return joined.mapInArrow(apply, schema)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, spare_copies: bool = False) -> DataFrame:
     """``drop_lines`` by the state of the documents themselves."""
-    return drop_lines(docs, build_state(docs, text, min_docs), text)
+    return drop_lines(docs, build_state(docs, text, min_docs, spare_copies), text)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, text_of
+from .common import held, prefix_sums, text_of
 
 #: Local part: a whole run of its class, or what is left of it after the match before (\G).
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]+?(?![A-Za-z0-9-]|\.[A-Za-z0-9-])"
@@ -100,13 +100,13 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS
     out = docs.drop("spans").withColumn("__t", text_of(docs[text]))
     for k in kinds:
         pattern, _, may = RULES[k]
-        out = out.withColumn(f"__m_{k}", F.when(may(F.col("__t")), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(f"__m_{k}", F.when(may(F.col("__t")) & held(), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for k in kinds:
-        out = out.withColumn(f"__g_{k}", F.when(F.size(f"__m_{k}") > 0, F.split("__t", RULES[k][0], -1)).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(f"__g_{k}", F.when((F.size(f"__m_{k}") > 0) & held(), F.split("__t", RULES[k][0], -1)).otherwise(F.array().cast("array<string>")))
     for k in kinds:
         gap, hit = F.col(f"__g_{k}"), F.col(f"__m_{k}")
         steps = F.zip_with(F.slice(gap, 1, F.size(hit)), hit, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-        out = out.withColumn(f"__b_{k}", F.when(F.size(hit) > 0, prefix_sums(steps)).otherwise(F.array().cast("array<bigint>")))
+        out = out.withColumn(f"__b_{k}", F.when((F.size(hit) > 0) & held(), prefix_sums(steps)).otherwise(F.array().cast("array<bigint>")))
     spans = []
     for k in kinds:
         confirm = RULES[k][1]

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HEAVY_SHARE, text_of, written
+from .common import BROADCAST_ROWS, HEAVY_SHARE, held, text_of, written
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,7 +65,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__at", at)
     a = F.col("__at")
     covered = F.aggregate(F.transform(a, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(a, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda acc, n: acc + n)
-    out = out.withColumn("n_repeat_words", covered)
+    out = out.withColumn("n_repeat_words", F.when(held(), covered))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.drop("__t", "__w", "__x", "__h", "__s", "__l", "__d", "__p", "__at")
 
@@ -87,10 +87,14 @@ def line_table(docs: DataFrame, key: list[str], host: str, text: str) -> DataFra
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """Lines that more than ``limit`` documents of a host hold, copies counted once."""
+    """Lines that more than ``limit`` documents of a host hold, copies counted once.
+
+    A line of which most documents share their longest line is part of copies
+    with a few edits, not a line that unlike documents share: near-dedup is for those.
+    """
     by = ["__host", "__a", "__b"]
     once = lines.where("__a is not null").groupBy(*by, "__sig").agg(F.count("*").alias("__c"))
-    return once.groupBy(*by).agg(F.count("*").alias("__docs"), F.sum("__c").alias("__rows")).where(F.col("__docs") > limit)
+    return once.groupBy(*by).agg(F.count("*").alias("__docs"), F.sum("__c").alias("__rows"), F.max("__c").alias("__top")).where((F.col("__docs") > limit) & (2 * F.col("__top") < F.col("__rows"))).drop("__top")
 
 
 def rule_verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:

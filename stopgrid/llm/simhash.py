@@ -70,17 +70,18 @@ def fingerprints(text: str | None, shingle: int = 3, number: int = 1, block: int
 
 
 def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, number: int) -> DataFrame:
-    """(doc_id, fps) for each row; fps is an array of ``number`` fingerprints."""
+    """(doc_id, th, fps) for each row; th is a hash of the text, fps an array of ``number`` fingerprints."""
     small_batches(docs.sparkSession)
 
     def rows(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [fingerprints(t, shingle, number) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            texts = b.column(1).to_pylist()
+            th = np.array([xxhash.xxh64_intdigest(t or "", SEED) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th), pa.array([fingerprints(t, shingle, number) for t in texts], pa.list_(pa.int64()))], ["doc_id", "th", "fps"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id bigint, fps array<bigint>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id bigint, th bigint, fps array<bigint>")
 
 
 def grid(nodes: DataFrame, bits: int, number: int) -> DataFrame:
@@ -186,12 +187,8 @@ def links(nodes: DataFrame, bits: int, number: int) -> DataFrame:
     return sorted_.mapInArrow(rows, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, number: int = 1) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``.
-
-    ``number`` independent fingerprints may be asked for; documents then link if
-    any of them is near, and ``fingerprint`` is the first.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int, number: int) -> tuple[DataFrame, DataFrame]:
+    """The table of fingerprints with a node for each row, and (node, component, component_id, n)."""
     spark = docs.sparkSession
     node = F.element_at("fps", 1) if number == 1 else F.xxhash64("fps")
     table = written(fingerprint_table(docs, doc_id, text, shingle, number).withColumn("node", node), "fingerprints")
@@ -201,7 +198,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = connected_components(found)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = written(named.join(best, "component").select("node", "component_id", "n"), "labels")
-    total = labels.agg(F.sum("n")).first()[0] or 0
-    out = join_by_count(table, labels, ["node"], "n", total)
+    return table, written(named.join(best, "component").select("node", "component", "component_id", "n"), "labels")
+
+
+def _rows(table: DataFrame, labels: DataFrame) -> DataFrame:
+    return join_by_count(table, labels, ["node"], "n", labels.agg(F.sum("n")).first()[0] or 0)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, number: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``docs``.
+
+    ``number`` independent fingerprints may be asked for; documents then link if
+    any of them is near, and ``fingerprint`` is the first.
+    """
+    out = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
+    """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text)."""
+    rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("__d"), F.col("x.th").alias("__t"))
+    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    on = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))
+    # The join deals rows by id and hash, so rows that are repeats meet and one of them stays.
+    return keyed.join(kept, on, "left_semi").dropDuplicates([doc_id, "__h"]).drop("__h")

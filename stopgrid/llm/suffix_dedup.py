@@ -208,8 +208,9 @@ def _bitmap(found: DataFrame, n: int) -> np.ndarray:
     bits = 16
     while 1 << bits < min(BITMAP_BITS, 16 * n):
         bits += 1
-    at = F.shiftrightunsigned("h", 64 - bits)
-    words = found.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("b")).toPandas()
+    # By the low half: anchors are grams whose high half is small.
+    at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = found.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
@@ -217,7 +218,7 @@ def _bitmap(found: DataFrame, n: int) -> np.ndarray:
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     bits = len(bitmap).bit_length() - 1 + 6
-    at = h >> np.uint64(64 - bits)
+    at = h & np.uint64((1 << bits) - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
