@@ -227,10 +227,10 @@ def policy_label(spark, d):
     return combos(spark).withColumn("label", F.concat(place, F.when((F.col("kind") > 0) & (F.col("freq") > 0), " + ").otherwise(""), freq))
 
 
-@query(f"with t as (select o_orderkey, o_totalprice, {_COMP} from orders) select o_orderkey, round(case when o_orderkey % 5 > 0 then greatest(0, o_totalprice * (a - b) + 0.5::double * (c - d) * o_totalprice) else 0 end, 2) benefit from t")
+@query(f"with t as (select o_orderkey, o_totalprice, {_COMP} from orders) select o_orderkey, floor(100 * case when o_orderkey % 5 > 0 then greatest(0, o_totalprice * (a - b) + 0.5::double * (c - d) * o_totalprice) else 0 end + 0.25) / 100 benefit from t")
 def benefit(spark, d):
     c = components(spark, d)
-    return c.select("o_orderkey", F.round(score.benefit(F.col("o_totalprice") * (F.col("a") - F.col("b")), F.col("c") - F.col("d"), F.col("o_totalprice"), F.col("o_orderkey") % 5 > 0), 2).alias("benefit"))
+    return c.select("o_orderkey", (F.floor(100 * score.benefit(F.col("o_totalprice") * (F.col("a") - F.col("b")), F.col("c") - F.col("d"), F.col("o_totalprice"), F.col("o_orderkey") % 5 > 0) + 0.25) / 100).alias("benefit"))
 
 
 @query(f"""with t as (select o_orderkey, {_COMP} from orders), v as (select *, 50 * a trips, 20 * b km, 10 + 60 * c mx, cast(o_orderkey % 4 as bigint) links from t),

@@ -62,8 +62,9 @@ def in_ring(lon, lat, ring):
 
 
 def locate(points: DataFrame, areas: DataFrame, cell: float = 0.5) -> DataFrame:
-    """(points..., area): the area whose ring holds the point (least id if several), else the one with the nearest corner of its box; rings meet points by cells of their boxes."""
-    box = areas.select("area", "ring", *[f(F.transform("ring", lambda p, k=k: p[k])).alias(n) for n, f, k in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))])
+    """(points..., area): the area whose ring holds the point (least id if several); rings meet points by cells of their boxes."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    box = areas.select("area", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     spread = box.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
     at = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
     inside = at.join(spread, ["cx", "cy"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")) & in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
