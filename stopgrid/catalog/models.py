@@ -1 +1,107 @@
-"""."""
+"""Models and statistics over scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stopgrid import views as V
+from stopgrid.catalog import query
+from stopgrid.catalog.scalars import components
+from stopgrid.operators import learn as L
+from stopgrid.operators import ranks as R
+
+_PARTS = ["a", "b", "c", "d", "e"]
+
+
+def _labelled(spark, d):
+    c = components(spark, d).where("o_orderkey % 10 = 0")
+    return c.withColumn("y", 0.5 * F.col("a") + 0.3 * F.col("b") * F.col("c") + 0.2 * F.col("d"))
+
+
+@query(V.with_views("select line, round(max(ln(1 + trips)), 6) log_trips, count(distinct g) n_groups, round(max(cum), 3) longest, max(case when mode >= 2 then 1 else 0 end) as long from f2_ps group by 1", "f2_ps"))
+def ml_line_features(spark, d):
+    return V.f2_ps(spark, d).groupBy("line").agg(F.round(F.max(F.log1p("trips")), 6).alias("log_trips"), F.count_distinct("g").alias("n_groups"), F.round(F.max("cum"), 3).alias("longest"), F.max((F.col("mode") >= 2).cast("int")).alias("long"))
+
+
+@query(V.with_views("select p.g, count(distinct p.line) n_lines, round(sum(p.trips), 3) trips, coalesce(max(w.n), 0) walks from f2_ps p left join (select a, count(*) n from f2_walk group by 1) w on w.a = p.g group by 1", "f2_ps", "f2_walk"))
+def ml_stop_features(spark, d):
+    w = V.f2_walk(spark, d).groupBy(F.col("a").alias("g")).agg(F.count("*").alias("walks"))
+    p = V.f2_ps(spark, d).groupBy("g").agg(F.count_distinct("line").alias("n_lines"), F.round(F.sum("trips"), 3).alias("trips"))
+    return p.join(w, "g", "left").fillna(0, ["walks"])
+
+
+@query()
+def ml_explainer(spark, d):
+    return L.cross_validate(_labelled(spark, d), _PARTS, "y", "o_orderkey", 3)
+
+
+@query()
+def ml_surrogate_access(spark, d):
+    x = _labelled(spark, d).withColumn("y", F.when(F.col("o_orderkey") % 40 > 0, F.col("y")))
+    return L.predict_missing(x, _PARTS, "y").select("o_orderkey", "y", "source")
+
+
+@query()
+def ml_kmeans_types(spark, d):
+    x = L.clusters(_labelled(spark, d), _PARTS, 5, 3)
+    return L.centre_table(x, _PARTS)
+
+
+@query()
+def cluster_representative(spark, d):
+    x = L.clusters(_labelled(spark, d), _PARTS, 5, 3)
+    return x.groupBy("cluster").agg(F.max_by("o_orderkey", F.struct("y", "o_orderkey")).alias("line"))
+
+
+@query()
+def ml_policy_surrogate(spark, d):
+    x = _labelled(spark, d).withColumn("y", F.log((F.col("o_totalprice") + 0.1) / (1 + F.col("o_orderkey") % 37)))
+    va, m = L.gbt(x.where("o_orderkey % 100 > 0"), [*_PARTS, "o_totalprice"], "y")
+    return m.transform(va.transform(x)).select("o_orderkey", "prediction")
+
+
+@query()
+def ml_validate_capture(spark, d):
+    p = ml_policy_surrogate(spark, d).join(V.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return R.spearman(p, "prediction", "o_totalprice")
+
+
+@query("select o_orderkey from (select o_orderkey, count(*) over (partition by least(4, o_custkey % 6), o_orderkey % 2) n, row_number() over (partition by least(4, o_custkey % 6), o_orderkey % 2 order by o_orderkey * 7919 % 10007, o_orderkey) r, count(*) over () t from orders) where r <= greatest(20, floor(1000.0 * n / t + 0.5))")
+def ml_stratified_sample(spark, d):
+    from pyspark.sql import Window
+
+    o = V.read(spark, d, "orders")
+    t = o.count()
+    by = [F.least(F.lit(4), F.col("o_custkey") % 6), F.col("o_orderkey") % 2]
+    n = F.count("*").over(Window.partitionBy(*by))
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("o_orderkey") * 7919 % 10007, "o_orderkey"))
+    return o.select("o_orderkey", n.alias("n"), r.alias("r")).where(F.col("r") <= F.greatest(F.lit(20), F.floor(1000.0 * F.col("n") / t + 0.5))).select("o_orderkey")
+
+
+_DRAWS = [(0, 0.3, 0.2, 0.2, 0.15, 0.15), (1, 0.25, 0.25, 0.2, 0.15, 0.15), (2, 0.35, 0.15, 0.15, 0.2, 0.15), (3, 0.28, 0.22, 0.18, 0.12, 0.2)]
+_W = ", ".join(str(x) for x in _DRAWS)
+
+
+@query(f"""with t as (select o_orderkey, (o_orderkey % 101) / 100.0::double a, (o_custkey % 97) / 96.0::double b, (o_orderkey % 31) / 30.0::double c, (o_custkey % 13) / 12.0::double d, (o_orderkey % 7) / 6.0::double e from orders), w(draw, w0, w1, w2, w3, w4) as (values {_W}), n as (select greatest(1, floor(count(*) * 0.05)::int) n from t),
+s as (select draw, o_orderkey, round((a * w0 + b * w1 + c * w2 + d * w3 + e * w4) / (w0 + w1 + w2 + w3 + w4)::double, 9) s from t, w), r as (select *, row_number() over (partition by draw order by s desc, o_orderkey) r from s)
+select x.draw, round(count(*) / max(n)::double, 6) kept from r x join r y on y.draw = 0 and y.o_orderkey = x.o_orderkey, n where x.r <= n and y.r <= n group by 1""")
+def stat_weight_sensitivity(spark, d):
+    draws = spark.createDataFrame(_DRAWS, "draw int, w0 double, w1 double, w2 double, w3 double, w4 double")
+    c = components(spark, d)
+    w = _DRAWS[0][1:]
+    base = c.withColumn("s", F.round(sum(F.col(p) * x for p, x in zip(_PARTS, w, strict=True)) / sum(w), 9))
+    return L.sensitivity(base, "o_orderkey", _PARTS, "s", draws).select("draw", F.round("kept", 6).alias("kept"))
+
+
+@query("with a as (select o_custkey k, sum(o_totalprice) s from orders group by 1), j as (select c_acctbal x, s y from customer join a on k = c_custkey), r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double ry from j) select round(corr(rx, ry), 8) rho from r")
+def stat_v6_comparison(spark, d):
+    a = V.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("y"))
+    j = V.read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(a, "c_custkey")
+    return R.spearman(j, "x", "y").select(F.round("rho", 8).alias("rho"))
+
+
+@query("with e as (select user_id % 100 g, sum(value) b from events group by 1), j as (select b, greatest(0, s_acctbal) x, sqrt(greatest(0, s_acctbal)) y from supplier join e on g = s_suppkey), r as (select rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0::double rb, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double rx from j) select round(corr(rb, rx), 8) rho from r")
+def stat_demand_validation(spark, d):
+    e = V.read(spark, d, "events").groupBy((F.col("user_id") % 100).alias("s_suppkey")).agg(F.sum("value").alias("b"))
+    j = V.read(spark, d, "supplier").select("s_suppkey", F.greatest(F.lit(0.0), "s_acctbal").alias("x")).join(e, "s_suppkey")
+    return R.spearman(j, "b", "x").select(F.round("rho", 8).alias("rho"))
