@@ -16,6 +16,7 @@ from stopgrid.operators.components import connected_components
 from stopgrid.plans import policies as Q
 from stopgrid.plans import routing as T
 from stopgrid.plans import simulation as M
+from stopgrid.plans.storage import written
 
 _CC = """lab(id, c) as (select id, id from nodes union select e.b, lab.c from lab join e on e.a = lab.id)"""
 
@@ -240,10 +241,10 @@ def segment_removal(spark, d):
 
 
 def _scored(spark, d):
-    r = _removal(spark, d).withColumn("l", F.log1p("affected"))
+    r = written(_removal(spark, d).withColumn("l", F.log1p("affected")), "removal")
     p = R.pct_rank(r, "l", "aff")
     s = score.weighted_score([F.col("time_increase"), F.lit(0.0), F.col("no_alternative"), F.col("connectivity"), F.col("aff")], P.LINE_WEIGHTS)
-    return R.graded(p.withColumn("score", F.round(s, 6)), "score")
+    return R.graded(written(p.withColumn("score", F.round(s, 6)), "scores"), "score")
 
 
 @query()
@@ -266,9 +267,9 @@ def score_segments(spark, d):
     ps = net(spark, d)
     e = S.edges(ps, "pat").select("line", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "trips")
     risk = e.join(_scored(spark, d).select("line", "score"), "line").groupBy("a", "b").agg(F.sum("trips").alias("trips"), (F.max("score") / 100).alias("risk"))
-    seg = risk.withColumn("scn", F.col("a") * 100_000 + F.col("b"))
+    seg = written(risk.withColumn("scn", F.col("a") * 100_000 + F.col("b")), "segments")
     det = M.segment_removal(ps, V.f2_walk(spark, d), seg.select("scn", "a", "b"))
-    x = R.pct_rank(seg.join(det.select("scn", "detour"), "scn").withColumn("l", F.log1p("trips")), "l", "vol")
+    x = R.pct_rank(written(seg.join(det.select("scn", "detour"), "scn").withColumn("l", F.log1p("trips")), "detours"), "l", "vol")
     s = score.weighted_score([F.col("detour"), F.col("vol"), F.col("risk")], P.SEGMENT_WEIGHTS)
     return R.graded(x.withColumn("score", F.round(s, 6)), "score").select("a", "b", "score", "grade")
 
@@ -416,3 +417,47 @@ def sample_trip_km(spark, d):
     s = V.f2_stop(spark, d)
     j = M.od_pairs(net(spark, d)).join(s.select(F.col("g").alias("f"), "lon", "lat"), "f").join(s.select(F.col("g").alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y")), "t")
     return j.groupBy("line").agg(F.round(F.avg(local_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) / 1000), 4).alias("km"))
+
+
+# ---------------------------------------------------------------- sinks
+
+
+@query(V.with_views("select part, id, score, rank from (select 0 part, g id, pop score, row_number() over (order by pop desc, g) rank from f2_stop where g % 4 = 3 union all select 1, c_custkey, c_acctbal, row_number() over (order by c_acctbal desc, c_custkey) from customer where c_custkey % 4 = 3)", "f2_stop"))
+def sink_csv_export(spark, d):
+    from stopgrid.sources.sinks import export_rows
+
+    a = V.f2_stop(spark, d).select(F.col("g").alias("id"), "name", F.col("pop").alias("score"), (F.col("g") % 4).alias("grade"))
+    c = V.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 4).alias("grade"))
+    return export_rows(a, c).select("part", "id", "score", "rank")
+
+
+@query(V.with_views("select pat, pos, x - coalesce(lag(x) over (partition by pat order by pos), 0) dx, y - coalesce(lag(y) over (partition by pat order by pos), 0) dy from (select p.pat, p.pos, cast(round_even(s.lon * 1e6, 0) as bigint) x, cast(round_even(s.lat * 1e6, 0) as bigint) y from f2_ps p join f2_stop s on s.g = p.g)", "f2_ps", "f2_stop"))
+def sink_delta_polyline(spark, d):
+    from stopgrid.sources.sinks import delta_polyline
+
+    p = V.f2_ps(spark, d).join(V.f2_stop(spark, d).select("g", "lon", "lat"), "g")
+    return delta_polyline(p, "pat")
+
+
+@query("select c_custkey, cast(least(greatest(round_even(c_acctbal * 10, 0), 0), 65535) as bigint) c_acctbal from customer")
+def sink_packed_columns(spark, d):
+    from stopgrid.sources.sinks import packed
+
+    return packed(V.read(spark, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": (10, 65535)})
+
+
+@query("select count(*) stops, 'supplier' as population, 'estimated' as time from supplier")
+def data_status(spark, d):
+    return V.read(spark, d, "supplier").agg(F.count("*").alias("stops"), F.lit("supplier").alias("population"), F.lit("estimated").alias("time"))
+
+
+@query("with t as (select c_nationkey code5, c_custkey % 7 dst from customer), m as (select code5, dst, row_number() over (partition by code5 order by count(*) desc, dst) r from t where dst < 5 group by 1, 2) select c_custkey, case when c_custkey % 7 < 5 then c_custkey % 7 else m.dst end as dst from customer left join m on m.code5 = c_nationkey and m.r = 1")
+def region_reassign_majority(spark, d):
+    c = V.read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("code5"), (F.col("c_custkey") % 7).alias("own"))
+    m = R.top_per(c.where("own < 5").groupBy("code5", "own").agg(F.count("*").alias("n")), ["code5"], [F.desc("n"), "own"], 1).select("code5", F.col("own").alias("best"))
+    return c.join(m, "code5", "left").select("c_custkey", F.when(F.col("own") < 5, F.col("own")).otherwise(F.col("best")).alias("dst"))
+
+
+@query("select o_custkey % 4 status, count(*) n from orders group by 1")
+def road_status_summary(spark, d):
+    return V.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).alias("status")).agg(F.count("*").alias("n"))

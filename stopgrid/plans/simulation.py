@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stopgrid import params as P
 from stopgrid.operators import sequences as S
 from stopgrid.plans import routing as R
+from stopgrid.plans.storage import written
 
 
 def od_pairs(stops: DataFrame) -> DataFrame:
@@ -61,6 +62,7 @@ def line_removal(stops: DataFrame, walks: DataFrame | None, groups: DataFrame, l
         F.when(F.sum("pop") > 0, F.sum(F.when(F.col("lost") == 1, F.col("pop")).otherwise(0.0)) / F.sum("pop")).otherwise(0.0).alias("no_alternative"),
         F.sum(F.col("pop") * F.col("own") / F.col("all")).alias("affected"),
     )
+    by_pair = written(by_pair, "removed_pairs")
     e = S.edges(stops.select("line", "pat", "pos", "g", "trips"), "pat").groupBy("line", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("trips").alias("own"))
     shared = e.withColumn("all", F.sum("own").over(Window.partitionBy("a", "b")))
     dep = shared.groupBy("line").agg(F.avg((F.col("own") / F.col("all") >= 0.9).cast("double")).alias("dependency"))
