@@ -200,7 +200,7 @@ def sample_words(train: DataFrame, docs: int = SAMPLE_DOCS) -> DataFrame:
 
 def train_model(train: DataFrame, names: list[str], docs: int = SAMPLE_DOCS) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, piece names, probabilities)."""
-    rows = sample_words(train, docs).toPandas()
+    rows = sample_words(train, docs).toArrow().to_pandas()
     pieces = Pieces(names)
     if not len(rows):
         return [], names, np.zeros((len(pieces.names), 0))

@@ -276,8 +276,8 @@ def drop_lines(docs: DataFrame, state: LineState, text: str = "text") -> DataFra
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema] + ["n_lines bigint", "n_dropped bigint"])
     over = state.counts.where(F.col("n") >= state.min_docs)
     if state.over <= LOCAL_KEYS:
-        keys = over.select("a", "b").toPandas()
-        exact = {x.tobytes() for x in keys[["a", "b"]].to_numpy(dtype="int64")}
+        keys = over.select("a", "b").toArrow()
+        exact = {x.tobytes() for x in np.stack([keys.column(c).to_numpy().astype(np.int64) for c in ("a", "b")], axis=1)}
         files = {r.shard: _read(r.path).dump() for r in state.filters.collect()}
         shared, shards = spark.sparkContext.broadcast((exact, files)), state.shards
 

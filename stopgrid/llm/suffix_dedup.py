@@ -210,9 +210,9 @@ def _bitmap(found: DataFrame, n: int) -> np.ndarray:
         bits += 1
     # By the low half: anchors are grams whose high half is small.
     at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = found.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toPandas()
+    words = found.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
 
 
