@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, language_id, line_dedup, pii, quality_rules, simhash, site_quality, suffix_dedup, token_store
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_store, op2_pii, op3_simhash, op4_site_quality, op5_line_dedup, op6_quality_rules, op7_byte_bpe, op8_language_id, op9_decontamination, op10_suffix_dedup)
 }
-ORACLE_SQL: dict[str, str] = {}
