@@ -461,3 +461,63 @@ def region_reassign_majority(spark, d):
 @query("select o_custkey % 4 status, count(*) n from orders group by 1")
 def road_status_summary(spark, d):
     return V.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).alias("status")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- roads
+
+
+_XY = "(select g, lon * 111320.0 * cos(radians(36.2)) x, lat * 111320.0 y from f2_stop)"
+_HOPS = "hop as (select distinct least(g, nxt) a, greatest(g, nxt) b from (select g, lead(g) over (partition by pat order by pos) nxt from f2_ps) where nxt is not null)"
+
+
+def _plane(spark, d):
+    from stopgrid.functions.geo import local_x, local_y
+
+    return V.f2_stop(spark, d).select("g", local_x(F.col("lon")).alias("x"), local_y(F.col("lat")).alias("y"))
+
+
+def _hops(spark, d):
+    e = S.edges(V.f2_ps(spark, d), "pat").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    p = _plane(spark, d)
+    return e.join(p.select(F.col("g").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1")), "a").join(p.select(F.col("g").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), "b")
+
+
+@query(_sql(f"""select id, d as dist from (select p.id, min(round(sqrt(power(p.x - s.x1 - t * dx, 2) + power(p.y - s.y1 - t * dy, 2)), 3)) d from (select p.*, s.*, s.x2 - s.x1 dx, s.y2 - s.y1 dy, least(1, greatest(0, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / (power(s.x2 - s.x1, 2) + power(s.y2 - s.y1, 2)))) t
+from (select id, lon * 111320.0 * cos(radians(36.2)) x, lat * 111320.0 y from pts where id < 200) p, (select u.x x1, u.y y1, v.x x2, v.y y2 from hop join {_XY} u on u.g = a join {_XY} v on v.g = b) s) z(id, x, y, x1, y1, x2, y2, dx, dy, t), lateral (select z.id, z.x, z.y) p, lateral (select z.x1, z.y1) s group by 1) where d <= 300""", "f2_stop", "f2_ps", more=f"{_PTS}, {_HOPS}"))
+def join_snap_road(spark, d):
+    from stopgrid.functions.geo import local_x, local_y
+    from stopgrid.operators.roads import snap
+
+    p = _pts(spark, d).where("id < 200").select("id", local_x(F.col("lon")).alias("x"), local_y(F.col("lat")).alias("y"))
+    s = _hops(spark, d).withColumn("link", F.col("a") * 100_000 + F.col("b"))
+    return snap(p, s).select("id", "dist")
+
+
+@query(_sp(f"select 0 scn, a f, b t, sqrt(power(u.x - v.x, 2) + power(u.y - v.y, 2)) m from (select a, b from hop union select b, a from hop) join {_XY} u on u.g = a join {_XY} v on v.g = b", "select 0 scn, 0 origin, 0 g, 0 t0 union all select 0, 45, 45, 0", 2500, "select origin f, g t, round(m, 3) m from r where g % 3 = 0", more=f"f2_stop2 as ({V.SQL['f2_stop']}), {_HOPS}").replace(_XY, _XY.replace("from f2_stop", "from f2_stop2")))
+def road_sssp_geometry(spark, d):
+    from stopgrid.operators.roads import road_distances
+
+    h = _hops(spark, d).select("a", "b", F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)).alias("m"))
+    g = _plane(spark, d).where("g % 3 = 0").select(F.col("g").alias("t"))
+    pairs = g.crossJoin(F.broadcast(spark.createDataFrame([(0,), (45,)], "f bigint"))).withColumn("straight", F.lit(0.0))  # two origins
+    return road_distances(h, pairs, 2500.0).where("m is not null").select("f", "t", F.round("m", 3).alias("m"))
+
+
+@query()
+def polyline_simplify(spark, d):
+    from stopgrid.operators.roads import simplify
+
+    p = V.f2_ps(spark, d).join(_plane(spark, d), "g").groupBy("pat").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
+    return simplify(p.select(F.col("pat").alias("id"), F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))).select("id", F.size("xs").alias("n"))
+
+
+@query("select n_regionkey region, count(*) parts, string_agg(n_nationkey::varchar, ',' order by n_nationkey) members from nation group by 1")
+def dissolve_polygons(spark, d):
+    """The members of each larger area; their rings stay a collection, as no geometry library joins them."""
+    n = V.read(spark, d, "nation")
+    return n.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(V.with_views("select g, sum(trips) trips from f2_ps group by 1", "f2_ps"))
+def group_trips(spark, d):
+    return V.f2_ps(spark, d).groupBy("g").agg(F.sum("trips").alias("trips"))

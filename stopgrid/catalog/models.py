@@ -105,3 +105,8 @@ def stat_demand_validation(spark, d):
     e = V.read(spark, d, "events").groupBy((F.col("user_id") % 100).alias("s_suppkey")).agg(F.sum("value").alias("b"))
     j = V.read(spark, d, "supplier").select("s_suppkey", F.greatest(F.lit(0.0), "s_acctbal").alias("x")).join(e, "s_suppkey")
     return R.spearman(j, "b", "x").select(F.round("rho", 8).alias("rho"))
+
+
+@query()
+def ml_policy_insights(spark, d):
+    return L.importance(_labelled(spark, d), _PARTS, "y", "o_orderkey")
