@@ -8,7 +8,7 @@ folder and read again, so a lost executor costs part of one stage.
 - line_dedup drops lines that ten or more documents share. Lines of copies,
   whose documents mostly share their longest line too, are left for the next
   stage, which else would find groups of copies empty.
-- near_dedup keeps one document of each group. Documents link if one of eight
+- near_dedup keeps one document of each group. Documents link if one of five
   SimHash fingerprints over five-word shingles differs by at most three bits.
 - decontaminate drops documents of which a twentieth is benchmark text.
 - byte_bpe encodes what is left.

@@ -2,9 +2,10 @@
 
 A fingerprint is cut into 32 segments of two bits; the bit counts of its
 segments are a point whose Manhattan distance to another point is at most the
-Hamming distance of the fingerprints. The points are cut into GROUPS parts: at
-a distance of ``bits`` or less at most ``bits`` parts differ, so two near points
-agree on GROUPS - bits parts and meet in that cell of the grid. Within a cell the
+Hamming distance of the fingerprints. The points are cut into bits + a parts:
+at a distance of ``bits`` or less at most ``bits`` parts differ, so two near
+points agree on a parts and meet in that cell of the grid; a grows with the
+logarithm of the number of points (see AGREE). Within a cell the
 Manhattan distance filters, then the Hamming distance decides. The result is
 exact: no link is lost.
 
@@ -34,6 +35,9 @@ from .common import join_by_count, parallel, small_batches, written
 
 SEED = 42
 CELL = 4096
+#: Nodes up to which near points must agree on 3, 4, 5 parts of the grid; on 6 beyond. More parts
+#: make cells smaller, so that points seldom meet by chance, for more cells a point.
+AGREE = ((1 << 20, 3), (1 << 23, 4), (1 << 26, 5))
 ODD = 0x5555555555555555
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -84,9 +88,9 @@ def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, num
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id bigint, th bigint, fps array<bigint>")
 
 
-def grid(nodes: DataFrame, bits: int, number: int) -> DataFrame:
+def grid(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
     """(cell, fp, node): each node in the cells where its near ones must meet it."""
-    parts = bits + 2
+    parts = bits + agree
     size = [32 // parts + (k < 32 % parts) for k in range(parts)]
     masks = [((1 << 2 * n) - 1) << 2 * sum(size[:k]) & ODD for k, n in enumerate(size)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -94,7 +98,8 @@ def grid(nodes: DataFrame, bits: int, number: int) -> DataFrame:
     low, high = fp.bitwiseAND(F.lit(ODD)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(ODD))
     # Of a segment's two bits: is any set, are both set. Together they tell the count.
     out = nodes.select("node", F.posexplode("fps").alias("j", "fp")).withColumn("any", low.bitwiseOR(high)).withColumn("both", low.bitwiseAND(high))
-    cells = [F.xxhash64("j", F.lit(k), F.col("any").bitwiseAND(F.lit(signed(masks[a] | masks[b]))), F.col("both").bitwiseAND(F.lit(signed(masks[a] | masks[b])))) for k, (a, b) in enumerate(combinations(range(parts), 2))]
+    chosen = [sum(masks[i] for i in c) for c in combinations(range(parts), agree)]
+    cells = [F.xxhash64("j", F.lit(k), F.col("any").bitwiseAND(F.lit(signed(m))), F.col("both").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(chosen)]
     return out.select("node", "fp", F.explode(F.array(*cells)).alias("cell"))
 
 
@@ -148,10 +153,11 @@ def links_in_cells(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int)
     return a[a != b], b[a != b]
 
 
-def links(nodes: DataFrame, bits: int, number: int) -> DataFrame:
+def links(nodes: DataFrame, bits: int) -> DataFrame:
     """(a, b): near nodes, enough of them to span every component."""
     spark = nodes.sparkSession
-    cells = grid(nodes, bits, number)
+    n = nodes.count()
+    cells = grid(nodes, bits, next((a for most, a in AGREE if n <= most), 6))
     sizes = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shared = join_by_count(cells, sizes, ["cell"], "n", total) if total else cells.join(sizes, "cell")
@@ -194,7 +200,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int,
     table = written(fingerprint_table(docs, doc_id, text, shingle, number).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    found = written(links(nodes, bits, number).distinct(), "links")
+    found = written(links(nodes, bits).distinct(), "links")
     of = connected_components(found)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -215,7 +221,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 5) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text)."""
     rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))

@@ -57,8 +57,10 @@ def test_op3_equals_brute_force(spark, tmp_path):
 
 
 @pytest.mark.parametrize("cell", [4096, 10])
-def test_links_span_the_components(spark, monkeypatch, cell):
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_links_span_the_components(spark, monkeypatch, cell, most):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "AGREE", ((most, 3),))
     r = random.Random(1)
     fps = {0, (1 << 64) - 1}
     for _ in range(8):
@@ -70,7 +72,7 @@ def test_links_span_the_components(spark, monkeypatch, cell):
     fps = sorted(fps)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(sign(f), [sign(f)]) for f in fps], "node bigint, fps array<bigint>")
-    got = [(e.a & (1 << 64) - 1, e.b & (1 << 64) - 1) for e in simhash.links(nodes, 3, 1).collect()]
+    got = [(e.a & (1 << 64) - 1, e.b & (1 << 64) - 1) for e in simhash.links(nodes, 3).collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in got)
 
     def parts(edges):

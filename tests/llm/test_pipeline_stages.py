@@ -45,7 +45,7 @@ def brute(rows, items):
         most[k] = max(most[k], c)
     drop = {k for k in n if n[k] >= 10 and 2 * most[k] < n[k]}
     rows = [(r[0], "\n".join(x for x, k in zip((r[1] or "").split("\n"), keys(r[1]), strict=True) if k not in drop), *r[2:]) for r in rows]
-    fps = [simhash.fingerprints(r[1], 5, 8) for r in rows]
+    fps = [simhash.fingerprints(r[1], 5, 5) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
