@@ -43,9 +43,12 @@ def line_removal(stops: DataFrame, walks: DataFrame | None, groups: DataFrame, l
     if lines is not None:
         pairs = pairs.join(lines.select("line"), "line", "left_semi")
     asked = pairs.withColumn("lim", 2 * F.col("ride") + 10)
-    base = _times(stops, walks, asked.withColumn("scn", F.lit(0).cast("long")), None).drop("scn").withColumnRenamed("m", "before")
     off = pairs.select(F.col("line").alias("scn"), "line").distinct()
-    cut = _times(stops, walks, asked.withColumn("scn", F.col("line")), off).select(F.col("scn").alias("line"), "f", "t", F.col("m").alias("after"))
+    # Scenario -1 has no line removed; it shares the rounds of the others.
+    every = asked.select(F.col("line").cast("long").alias("scn"), "f", "t", "lim").unionByName(asked.select(F.lit(-1).cast("long").alias("scn"), "f", "t", "lim"))
+    times = _times(stops, walks, every, off)
+    base = times.where("scn = -1").select("f", "t", F.col("m").alias("before"))
+    cut = times.where("scn <> -1").select(F.col("scn").alias("line"), "f", "t", F.col("m").alias("after"))
     p = asked.join(base, ["f", "t"], "left").join(cut, ["line", "f", "t"], "left")
     before = F.least(F.coalesce("before", "ride"), "ride")
     p = p.withColumn("before", before).withColumn("after", F.when(F.col("after") <= F.col("lim") + R.EPS, F.col("after")))
