@@ -91,7 +91,7 @@ def test_op6_counts_equal_brute_force(spark, tmp_path):
 
 def test_rules_reject_depleted(spark, monkeypatch):
     line = " ".join(f"shared{i}" for i in range(60))
-    rows = [(i, f"{line}\nown {i} " + " ".join(f"w{i}_{j}" for j in range(200 if i % 2 else 3)) + ("" if i % 2 else "\n" + f"t{i} " * 1), "en", "h" if i < 20 else None, 0) for i in range(30)]
+    rows = [(i, f"{line}\nown {i} " + " ".join(f"w{i}_{j}" for j in range(200 if i % 5 else 3)) + ("" if i % 5 else "\n" + f"t{i} " * 1), "en", "h" if i < 20 else None, 0) for i in range(30)]
     rows += rows[:2]
     for bound in (500_000, 0):
         monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
@@ -101,5 +101,12 @@ def test_rules_reject_depleted(spark, monkeypatch):
         assert len(out) == len(rows)
         assert by[(1, len(line), True)] == 2
         # the shared line is the longest of the short documents, so those count as one; the long ones make it frequent
-        assert all(r.n_line_chars == len(line) for r in out) and {r.kept for r in out if r.doc_id % 2 == 0} == {False}
+        assert all(r.n_line_chars == len(line) for r in out) and {r.kept for r in out if r.doc_id % 5 == 0} == {False}
     assert quality_rules.rule_verdicts(table(spark, [])).count() == 0
+
+
+def test_rules_spare_copies(spark):
+    long, line = " ".join(f"long{i}" for i in range(90)), " ".join(f"shared{i}" for i in range(60))
+    # most documents that hold the lines share their longest one: copies, some with edits
+    rows = [(i, f"{long if i % 3 else long + f' edit{i}'}\n{line}", "en", "h", 0) for i in range(30)]
+    assert all(r.kept and r.n_line_chars == 0 for r in quality_rules.rule_verdicts(table(spark, rows), max_docs=5).collect())
