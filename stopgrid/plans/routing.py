@@ -38,17 +38,18 @@ class Scenarios:
     allowed: DataFrame | None = None
 
 
-def _pattern_table(stops: DataFrame, s: Scenarios) -> DataFrame:
-    """Stops of patterns; with blocked edges for each scenario, and with the run of edges a stop is in."""
+def _runs(stops: DataFrame, s: Scenarios) -> DataFrame | None:
+    """(scn, pat, pos, run) of the patterns that a scenario blocks somewhere: which unbroken stretch a stop is on. All others are on stretch 0."""
     if s.blocked is None:
-        return stops.withColumn("run", F.lit(0).cast("long"))
-    w = Window.partitionBy("scn", "pat").orderBy("pos")
-    each = stops.crossJoin(F.broadcast(s.origins.select("scn").distinct()))  # every pattern exists in every scenario
+        return None
+    w = Window.partitionBy("pat").orderBy("pos")
     was = F.lag("g").over(w)
-    e = each.withColumn("__a", F.least(was, F.col("g"))).withColumn("__b", F.greatest(was, F.col("g")))
-    cut = s.blocked.select(F.col("scn").alias("__s"), F.least("a", "b").alias("__x"), F.greatest("a", "b").alias("__y")).distinct()
-    e = e.join(cut, (e["scn"] == cut["__s"]) & (e["__a"] == cut["__x"]) & (e["__b"] == cut["__y"]), "left")
-    return e.withColumn("run", F.sum(F.col("__x").isNotNull().cast("long")).over(w)).drop("__a", "__b", "__s", "__x", "__y")
+    e = stops.select("pat", "pos", F.least(was, F.col("g")).alias("a"), F.greatest(was, F.col("g")).alias("b")).where(F.col("pos") > 0)
+    cut = s.blocked.select("scn", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hits = e.join(cut, ["a", "b"]).select("scn", "pat", "pos", F.lit(1).alias("hit"))
+    own = hits.select("scn", "pat").distinct().join(stops.select("pat", "pos"), "pat").join(hits, ["scn", "pat", "pos"], "left")
+    run = F.sum(F.coalesce("hit", F.lit(0))).over(Window.partitionBy("scn", "pat").orderBy("pos"))
+    return written(own.select("scn", "pat", "pos", run.alias("run")), "runs")
 
 
 def _reachable(df: DataFrame, s: Scenarios) -> DataFrame:
@@ -63,13 +64,15 @@ def _reachable(df: DataFrame, s: Scenarios) -> DataFrame:
 def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most_rounds: int = 60) -> DataFrame:
     """(scn, origin, g, t)."""
     key = ["scn", "origin", "g"]
-    table = _pattern_table(stops, s)
-    keyed = ["scn", "pat"] if s.blocked is not None else ["pat"]
+    runs = _runs(stops, s)
     limits = s.origins.groupBy("scn", "origin").agg(F.max("lim").alias("lim"))
     labels = written(_reachable(s.origins, s).where("t0 <= lim").groupBy(*key).agg(F.min("t0").alias("t")), "labels")
     front = labels
     for _ in range(most_rounds):
-        board = front.join(table, ["scn", "g"] if s.blocked is not None else "g")
+        board = front.join(stops, "g")
+        if runs is not None:
+            board = board.join(runs, ["scn", "pat", "pos"], "left")
+        board = board.withColumn("run", F.coalesce("run", F.lit(0)) if runs is not None else F.lit(0))
         if s.disabled is not None:
             board = board.join(s.disabled.select("scn", "line").distinct(), ["scn", "line"], "left_anti")
         wait = F.col("wait")
@@ -77,7 +80,9 @@ def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most
             board = board.join(s.scale, ["scn", "line"], "left")
             wait = wait * F.coalesce("scale", F.lit(1.0))
         off = board.groupBy("scn", "origin", "pat", "run", "pos").agg(F.min(F.col("t") + wait - F.col("cum")).alias("off"))
-        ridden = off.select("scn", "origin", "pat", "run").distinct().join(table.select(*keyed, "run", "pos", "g", "cum"), [*keyed, "run"])
+        ridden = off.select("scn", "origin", "pat", "run").distinct().join(stops.select("pat", "pos", "g", "cum"), "pat")
+        if runs is not None:
+            ridden = ridden.join(runs.withColumnRenamed("run", "own"), ["scn", "pat", "pos"], "left").where(F.coalesce("own", F.lit(0)) == F.col("run")).drop("own")
         along = ridden.join(off, ["scn", "origin", "pat", "run", "pos"], "left")
         w = Window.partitionBy("scn", "origin", "pat", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
         new = along.withColumn("t", F.col("cum") + F.min("off").over(w)).where("t is not null").select(*key, "t")
