@@ -153,11 +153,11 @@ def links_in_cells(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int)
     return a[a != b], b[a != b]
 
 
-def links(nodes: DataFrame, bits: int) -> DataFrame:
-    """(a, b): near nodes, enough of them to span every component."""
+def links(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
+    """(a, b): near nodes, enough of them to span every component. Near points agree on ``agree`` parts or more."""
     spark = nodes.sparkSession
     n = nodes.count()
-    cells = grid(nodes, bits, next((a for most, a in AGREE if n <= most), 6))
+    cells = grid(nodes, bits, max(agree, next((a for most, a in AGREE if n <= most), 6)))
     sizes = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shared = join_by_count(cells, sizes, ["cell"], "n", total) if total else cells.join(sizes, "cell")
@@ -200,7 +200,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int,
     table = written(fingerprint_table(docs, doc_id, text, shingle, number).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    found = written(links(nodes, bits).distinct(), "links")
+    # Several fingerprints meet by chance that many times as often: smaller cells.
+    found = written(links(nodes, bits, 3 if number == 1 else 4).distinct(), "links")
     of = connected_components(found)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text)."""
     rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
