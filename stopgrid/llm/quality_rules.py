@@ -3,8 +3,8 @@
 DataFrame functions only. Lines are normalised (outer white space off,
 lower-cased) and hashed to 128 bits; for each host the documents holding a line
 are counted; lines above the limit are removed and documents that keep too little
-are rejected. Copies of one document count once per host: documents with
-the same longest line are one.
+are rejected. Exact copies count once per host: documents with the same text are
+one.
 
 Skew: the counts are hash aggregates with partial sums, so a hot host or line
 costs no single task more than others. Lines above the limit are few (at most
@@ -75,11 +75,10 @@ def line_table(docs: DataFrame, key: list[str], host: str, text: str) -> DataFra
     line = F.lower(F.btrim(F.col("__line"), F.lit(SPACE)))
     lines = F.split(text_of(text), "\n", -1)
     rows = docs.select(*key, F.col(host).alias("__host"), lines.alias("__lines"))
-    rows = rows.withColumn("__sig", F.xxhash64(F.array_max(F.transform("__lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]))
     rows = rows.withColumn("__line", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("__lines")))).drop("__lines")
     rows = rows.withColumn("__line", line)
     return rows.where(F.col("__line").isNull() | (F.col("__line") != "")).select(
-        *key, "__host", "__sig",
+        *key, "__host",
         F.when(F.col("__line").isNotNull(), F.xxhash64("__line")).alias("__a"),
         F.when(F.col("__line").isNotNull(), F.xxhash64(F.lit(1), F.col("__line"))).alias("__b"),
         F.coalesce(F.length("__line"), F.lit(0)).cast("long").alias("__n"),
@@ -87,14 +86,10 @@ def line_table(docs: DataFrame, key: list[str], host: str, text: str) -> DataFra
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """Lines that more than ``limit`` documents of a host hold, copies counted once.
-
-    A line of which most documents share their longest line is part of copies
-    with a few edits, not a line that unlike documents share: near-dedup is for those.
-    """
+    """Lines that more than ``limit`` documents of a host hold, documents of the same text (``__th``) counted once."""
     by = ["__host", "__a", "__b"]
-    once = lines.where("__a is not null").groupBy(*by, "__sig").agg(F.count("*").alias("__c"))
-    return once.groupBy(*by).agg(F.count("*").alias("__docs"), F.sum("__c").alias("__rows"), F.max("__c").alias("__top")).where((F.col("__docs") > limit) & (2 * F.col("__top") < F.col("__rows"))).drop("__top")
+    once = lines.where("__a is not null").groupBy(*by, "__th").agg(F.count("*").alias("__c"))
+    return once.groupBy(*by).agg(F.count("*").alias("__docs"), F.sum("__c").alias("__rows")).where(F.col("__docs") > limit)
 
 
 def rule_verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:

@@ -1,0 +1,18 @@
+from llm_fixtures import table
+
+from stopgrid.llm import quality_rules
+
+
+def test_rules_count_unlike_documents_that_share_their_longest_line(spark):
+    line = " ".join(f"footer{i}" for i in range(60))
+    rows = [(i, f"own {i} of few words\n{line}", "en", "h", 0) for i in range(30)]
+    rows += [(100 + i, rows[0][1], "en", "copies", 0) for i in range(30)]  # copies count once
+    out = quality_rules.rule_verdicts(table(spark, rows), max_docs=5).collect()
+    assert {(r.source, r.n_line_chars, r.kept) for r in out} == {("h", len(line), False), ("copies", 0, True)}
+
+
+def test_rules_reject_depleted_documents_that_are_half_of_a_lines(spark):
+    line = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, f"{line}\nown {i} " + " ".join(f"w{i}_{j}" for j in range(200 if i % 2 else 3)) + ("" if i % 2 else "\n" + f"t{i} " * 1), "en", "h" if i < 20 else None, 0) for i in range(30)]
+    out = quality_rules.rule_verdicts(table(spark, rows), max_docs=5).collect()
+    assert all(r.n_line_chars == len(line) for r in out) and {r.kept for r in out if r.doc_id % 2 == 0} == {False}
