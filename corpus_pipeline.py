@@ -5,9 +5,9 @@ Every stage but the last returns the columns of ``documents``; the last adds
 folder and read again, so a lost executor costs part of one stage.
 
 - quality_rules drops documents that the rules reject.
-- line_dedup drops lines that ten or more documents share. Lines of copies,
-  whose documents mostly share their longest line too, are left for the next
-  stage, which else would find groups of copies empty.
+- line_dedup drops lines that ten or more documents share, where copies, by the
+  links of the next stage, count as one. Lines that only copies share are left
+  for that stage, which else would find groups of copies empty.
 - near_dedup keeps one document of each group. Documents link if one of eight
   SimHash fingerprints over five-word shingles differs by at most three bits.
 - decontaminate drops documents of which a twentieth is benchmark text.
@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs, spare_copies=True).select(*docs.columns)
+    return lines.dedup_lines(docs, groups=simhash.text_groups(docs)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ MIN_DOCS = 10
 SHARD_KEYS = 1 << 20
 LOCAL_KEYS = 250_000
 SPACE = b" \t\r\x0b\x0c"
+#: Of the hash that names a text in a table of groups.
+TEXT_SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -145,32 +147,39 @@ def _pairs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0], x[:, 1]
 
 
-def _counted(docs: DataFrame, text: str, spare_copies: bool = False) -> DataFrame:
+def _counted(docs: DataFrame, text: str, groups: DataFrame | None = None, least: int = MIN_DOCS) -> DataFrame:
     """(a, b, n): the number of documents with each key.
 
-    With ``spare_copies``, keys are left out of which at least half the documents
-    share their longest line: those are copies, perhaps with edits.
+    With ``groups``, a table (th, component) of each text's hash and its group of
+    copies, keys of ``least`` documents or more are left out if these are fewer
+    than ``least`` groups.
     """
     small_batches(docs.sparkSession)
+    hashed = groups is not None
 
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found, sign = [], []
+            found, th = [], []
             for t in batch.column(0).to_pylist():
-                lines, digests = line_keys(t)
-                own = {d for d in digests if d}
+                own = {d for d in line_keys(t)[1] if d}
                 found += own
-                sign += [xxhash.xxh64_intdigest(max(lines, key=lambda x: (len(x), x))) >> 1 if spare_copies else 0] * len(own)
+                th += [xxhash.xxh64_intdigest(t or "", TEXT_SEED) if hashed else 0] * len(own)
             a, b = _pairs(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sign, pa.int64())], ["a", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.array(th, np.uint64).view(np.int64))], ["a", "b", "th"])
 
-    keys = docs.select(text).mapInArrow(rows, "a bigint, b bigint, s bigint")
-    if not spare_copies:
+    keys = docs.select(text).mapInArrow(rows, "a bigint, b bigint, th bigint")
+    if groups is None:
         return keys.groupBy("a", "b").agg(F.count("*").alias("n"))
-    by = keys.groupBy("a", "b", "s").agg(F.count("*").alias("c")).groupBy("a", "b").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
-    return by.where((F.col("n") == 1) | (2 * F.col("top") < F.col("n"))).drop("top")
+    n = written(keys.groupBy("a", "b").agg(F.count("*").alias("n")), "line_rows")
+    over = n.where(F.col("n") >= least)
+    total = over.agg(F.sum("n")).first()[0] or 0
+    # Each text once for a key, so a text with many copies is in no more rows than it has lines.
+    texts = join_by_count(keys, over, ["a", "b"], "n", total).select("a", "b", "th").distinct()
+    of = texts.join(groups, "th").select("a", "b", "component").distinct().groupBy("a", "b").agg(F.count("*").alias("groups"))
+    few = of.where(F.col("groups") < least).select("a", "b")
+    return n.join(few, ["a", "b"], "left_anti")
 
 
 def _shard(shards: int):
@@ -206,9 +215,9 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
     return written(keys.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, path string"), "filter_files")
 
 
-def build_state(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, spare_copies: bool = False) -> LineState:
-    """The state of ``docs``. One built with ``spare_copies`` lacks keys and can't be updated."""
-    counts = written(_counted(docs, text, spare_copies), "line_counts")
+def build_state(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, groups: DataFrame | None = None) -> LineState:
+    """The state of ``docs``. One built with ``groups`` lacks keys and can't be updated."""
+    counts = written(_counted(docs, text, groups, min_docs), "line_counts")
     over = counts.where(F.col("n") >= min_docs)
     n = over.count()
     shards = max(1, -(-n // SHARD_KEYS))
@@ -354,6 +363,6 @@ def drop_lines(docs: DataFrame, state: LineState, text: str = "text") -> DataFra
     return joined.mapInArrow(apply, schema)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, spare_copies: bool = False) -> DataFrame:
-    """``drop_lines`` by the state of the documents themselves."""
-    return drop_lines(docs, build_state(docs, text, min_docs, spare_copies), text)
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, groups: DataFrame | None = None) -> DataFrame:
+    """``drop_lines`` by the state of the documents themselves; ``groups`` as in ``_counted``."""
+    return drop_lines(docs, build_state(docs, text, min_docs, groups), text)

@@ -222,6 +222,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
+    """(th, component) for each distinct text: its hash and the group of copies that ``keep_one`` would put it in."""
+    table, labels = _labelled(docs, doc_id, text, shingle, bits, number)
+    texts = table.select("th", "node").distinct()
+    each = texts.groupBy("node").agg(F.count("*").alias("c"))
+    of = labels.select("node", "component").join(each, "node")
+    return written(join_by_count(texts, of, ["node"], "c", of.agg(F.sum("c")).first()[0] or 0).select("th", "component"), "groups")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text)."""
     rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
