@@ -9,7 +9,8 @@ folder and read again, so a lost executor costs part of one stage.
   links of the next stage, count as one. Lines that only copies share are left
   for that stage, which else would find groups of copies empty.
 - near_dedup keeps one document of each group. Documents link if one of eight
-  SimHash fingerprints over five-word shingles differs by at most three bits.
+  SimHash fingerprints over five-word shingles differs by at most three bits,
+  or if their sets of five-word shingles have a similarity of 0.8 or more.
 - decontaminate drops documents of which a twentieth is benchmark text.
 - byte_bpe encodes what is left.
 """

@@ -38,6 +38,10 @@ CELL = 4096
 #: Nodes up to which near points must agree on 3, 4, 5 parts of the grid; on 6 beyond. More parts
 #: make cells smaller, so that points seldom meet by chance, for more cells a point.
 AGREE = ((1 << 20, 3), (1 << 23, 4), (1 << 26, 5))
+#: Of the sets of shingles: least hashes a band, bands, and documents of a cell that a task compares with as many others.
+BAND_ROWS, BANDS, SET_CELL = 5, 20, 512
+_R = np.random.default_rng(SEED)
+_XOR, _ODD = (_R.integers(0, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 ODD = 0x5555555555555555
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -73,8 +77,28 @@ def fingerprints(text: str | None, shingle: int = 3, number: int = 1, block: int
     return [int(x) for x in np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.int64)[:, 0]]
 
 
-def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, number: int) -> DataFrame:
-    """(doc_id, th, fps) for each row; th is a hash of the text, fps an array of ``number`` fingerprints."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once and in order."""
+    words = (text or "").encode().translate(_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
+
+
+def band_keys(s: np.ndarray) -> list[int]:
+    """A key for each band of the set's least hashes: sets with a similarity of 0.8 share none of 20 in 4 of 10,000 cases."""
+    if not len(s):
+        return []
+    least = np.full(len(_XOR), (1 << 64) - 1, np.uint64)
+    for i in range(0, len(s), 4096):
+        least = np.minimum(least, ((s[None, i : i + 4096] ^ _XOR[:, None]) * _ODD[:, None]).min(1))
+    return np.array([xxhash.xxh64_intdigest(least[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, number: int, similar: bool = False) -> DataFrame:
+    """(doc_id, th, fps) for each row; th is a hash of the text, fps an array of ``number`` fingerprints.
+
+    With ``similar`` also sh, a hash of the set of shingles, and its bands.
+    """
     small_batches(docs.sparkSession)
 
     def rows(batches):
@@ -83,9 +107,15 @@ def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, num
         for b in batches:
             texts = b.column(1).to_pylist()
             th = np.array([xxhash.xxh64_intdigest(t or "", SEED) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th), pa.array([fingerprints(t, shingle, number) for t in texts], pa.list_(pa.int64()))], ["doc_id", "th", "fps"])
+            cols = {"doc_id": b.column(0), "th": pa.array(th), "fps": pa.array([fingerprints(t, shingle, number) for t in texts], pa.list_(pa.int64()))}
+            if similar:
+                sets = [shingle_set(t, shingle) for t in texts]
+                cols["sh"] = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+                cols["bands"] = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id bigint, th bigint, fps array<bigint>")
+    schema = "doc_id bigint, th bigint, fps array<bigint>" + (", sh bigint, bands array<bigint>" if similar else "")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, schema)
 
 
 def grid(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
@@ -193,16 +223,98 @@ def links(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
     return sorted_.mapInArrow(rows, "a bigint, b bigint")
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int, number: int) -> tuple[DataFrame, DataFrame]:
+def links_of_sets(sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs with a Jaccard similarity of 0.8 or more, enough of them to join every component that such a pair joins."""
+    size = np.array([len(s) for s in sets])
+    flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    group, out = component.copy(), []
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i])))
+        if not len(j):
+            continue
+        values = np.concatenate([flat[start[k] : start[k + 1]] for k in j])
+        at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+        both = np.add.reduceat((sets[i][at] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
+        for k in j[5 * both >= 4 * (size[i] + size[j] - both)].tolist():
+            if group[k] != group[i]:
+                out.append((i, k))
+                group[group == group[k]] = group[i]
+    return out
+
+
+def similar_links(docs: DataFrame, text: str, shingle: int, table: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b): nodes of documents whose sets of shingles have a similarity of 0.8 or more.
+
+    Candidates share a band; the sets decide. Enough links to join the components
+    ``of`` that they join: a cell within one component is left out, and of cells
+    with the same documents one is taken.
+    """
+    spark = docs.sparkSession
+    sets = written(table.groupBy("sh").agg(F.first("bands").alias("bands"), F.min("th").alias("th"), F.min("node").alias("node"), F.count("*").alias("c")), "sets")
+    equal = table.select("sh", F.col("node").alias("b")).distinct().join(sets.select("sh", F.col("node").alias("a")), "sh").where("a <> b").select("a", "b")
+    placed = sets.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    cells = placed.select("sh", "node", "component", F.explode("bands").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("sh")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sh")).alias("y"))
+    sizes = written(sizes.where("n > 1 and lo < hi").groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n"), "set_cells")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return equal
+    shared = join_by_count(cells, sizes, ["cell"], "n", total)
+    k = F.ceil(F.col("n") / SET_CELL).cast("int")
+    block = F.pmod(F.xxhash64("sh", F.lit(7)), k).cast("int")
+    pair = F.explode(F.when(k == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.least(o, F.col("block")) * k + F.greatest(o, F.col("block")))))
+    shared = written(shared.withColumn("block", block), "set_members")
+    dealt = shared.select("cell", "sh", "node", "component", pair.alias("pair")).select(F.xxhash64("cell", "pair").alias("key"), "sh", "node", "component")
+    wanted = sets.join(shared.select("sh").distinct(), "sh").select("th", "c")
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    once = join_by_count(texts, wanted, ["th"], "c", table.count()).groupBy("th").agg(F.first("t").alias("t"))
+    small_batches(spark)
+
+    def arrays(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            sh = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([s.tobytes() for s in found], pa.binary())], ["sh", "s"])
+
+    held_sets = written(once.select("t").mapInArrow(arrays, "sh bigint, s binary"), "shingle_sets")
+    sorted_ = dealt.join(held_sets, "sh").select("key", "node", "component", "s").repartition(parallel(spark), "key").sortWithinPartitions("key")
+
+    def rows(batches):
+        import pyarrow as pa
+
+        def made(rows):
+            got = links_of_sets([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows], np.int64)) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in got], pa.int64()), pa.array([rows[j][1] for _, j in got], pa.int64())], ["a", "b"])
+
+        group = []
+        for b in batches:
+            for r in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if group and group[0][0] != r[0]:
+                    yield made(group)
+                    group = []
+                group.append(r)
+        if group:
+            yield made(group)
+
+    return sorted_.mapInArrow(rows, "a bigint, b bigint").unionByName(equal)
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int, number: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """The table of fingerprints with a node for each row, and (node, component, component_id, n)."""
     spark = docs.sparkSession
     node = F.element_at("fps", 1) if number == 1 else F.xxhash64("fps")
-    table = written(fingerprint_table(docs, doc_id, text, shingle, number).withColumn("node", node), "fingerprints")
+    table = written(fingerprint_table(docs, doc_id, text, shingle, number, similar).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     # Several fingerprints meet by chance that many times as often: smaller cells.
     found = written(links(nodes, bits, 3 if number == 1 else 4).distinct(), "links")
     of = connected_components(found)
+    if similar:
+        of = written(of, "components")
+        found = found.unionByName(written(similar_links(docs, text, shingle, table, of).where("a <> b").distinct(), "similar"))
+        of = connected_components(found)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return table, written(named.join(best, "component").select("node", "component", "component_id", "n"), "labels")
@@ -224,7 +336,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def text_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
     """(th, component) for each distinct text: its hash and the group of copies that ``keep_one`` would put it in."""
-    table, labels = _labelled(docs, doc_id, text, shingle, bits, number)
+    table, labels = _labelled(docs, doc_id, text, shingle, bits, number, True)
     texts = table.select("th", "node").distinct()
     each = texts.groupBy("node").agg(F.count("*").alias("c"))
     of = labels.select("node", "component").join(each, "node")
@@ -232,8 +344,11 @@ def text_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 3, number: int = 8) -> DataFrame:
-    """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text)."""
-    rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number))
+    """The row of ``docs`` with the least doc_id of each component (null last; then by a hash of the text).
+
+    Documents link by a near fingerprint, or by sets of shingles with a Jaccard similarity of 0.8 or more.
+    """
+    rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number, True))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("__d"), F.col("x.th").alias("__t"))
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
