@@ -279,7 +279,9 @@ def similar_links(docs: DataFrame, text: str, shingle: int, table: DataFrame, of
             yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([s.tobytes() for s in found], pa.binary())], ["sh", "s"])
 
     held_sets = written(once.select("t").mapInArrow(arrays, "sh bigint, s binary"), "shingle_sets")
-    sorted_ = dealt.join(held_sets, "sh").select("key", "node", "component", "s").repartition(parallel(spark), "key").sortWithinPartitions("key")
+    # Dealt by number: the sizes that the engine goes by are of the rows before they get their sets.
+    with_sets = dealt.repartition(parallel(spark), "sh").join(held_sets.repartition(parallel(spark), "sh"), "sh")
+    sorted_ = with_sets.select("key", "node", "component", "s").repartition(parallel(spark), "key").sortWithinPartitions("key")
 
     def rows(batches):
         import pyarrow as pa
