@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,10 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a local folder of our own, gone when the program ends, if all runs on one machine.
+
+    On a cluster the setting must name a folder that all machines share.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        at = f"file://{root}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
