@@ -17,9 +17,32 @@ def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, since a row may hold a text of megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch sent to Python. A longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches limited by bytes, since a row may hold a text of megabytes.
+
+    The setting is the session's and frames read it when they run, so every
+    operator here sets the same values: no frame depends on which ran last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+
+
+def own_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores added until no column of the frames has that name, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def schema_of(df: DataFrame, more: str = "") -> str:
+    """The columns of ``df``, and ``more``, as a DDL string."""
+    own = [f"`{x.name.replace('`', '``')}` {x.dataType.simpleString()}" for x in df.schema]
+    return ", ".join([*own, more] if more else own)
 
 
 def held() -> Column:

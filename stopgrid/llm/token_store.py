@@ -12,19 +12,27 @@ one seek: offset, frame, dictionary.
 The dictionary is trained on the serialized ids of at most SAMPLE_DOCS
 documents of at most SAMPLE_CHARS each; it changes sizes, never results.
 
-Documents are range-partitioned by doc_id and sorted within a partition; every
-partition writes one file of its own name in the shared folder and returns a
-manifest row. A task that runs again writes another file; only files that the
-manifest names are read, so a lost executor costs its tasks only.
+Documents are range-partitioned by doc_id, then by a hash of the text and the
+row's number, so that ids that are null or repeated don't fill one partition,
+and sorted within a partition; every partition writes one file of its own name
+in the shared folder and returns a manifest row with its least and greatest id.
+A task that runs again writes another file; only files that the manifest names
+are read, so a lost executor costs its tasks only.
 
 Defined results: a null text is empty and has only the end id; a null doc_id
-sorts first; rows with one doc_id sort by text; an empty table has no shards.
+sorts first; rows with one doc_id sort by a hash of the text (equal rows are
+equal, so their order doesn't matter); an empty table has no shards; columns
+other than the id and the text are not stored, whatever their names; a text of
+any length is one frame, encoded whole in memory. The strings of the
+vocabulary's added tokens are recognised in a text, as the library does by
+default.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -42,7 +50,7 @@ MAGIC = b"TIDS1\n\0\0"
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 20_000, 32_768
 #: Words kept with their ids by each Python worker, in each of two generations.
 CACHE_WORDS = 400_000
-MANIFEST = "shard int, file string, n_docs bigint, n_tokens bigint, n_bytes bigint, dict_sha256 string"
+MANIFEST = "shard int, file string, n_docs bigint, n_tokens bigint, n_bytes bigint, dict_sha256 string, least bigint, most bigint"
 
 
 def _open(path: str):
@@ -65,7 +73,8 @@ class Encoder(dict):
     of CACHE_WORDS. A piece of Latin letters, with or without marks after it,
     needs none of the library's normalizer and splitter but lower case: its
     letters go to the library's model at once. All other pieces take the whole
-    way. Strings of special tokens in a text are ordinary text.
+    way. The strings of added tokens are found in the raw text first, as in the
+    library; what stands between two of them is a text of its own.
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -78,9 +87,11 @@ class Encoder(dict):
         super().__init__()
         self.old: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(vocabulary)
-        self.tok.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.added = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
         self.type = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.packed = struct.Struct("<H" if self.type == "<u2" else "<I").pack
+        self.added_ids = {x: self.packed(i) for x, i in added.items()}
         self.model = self.tok.model
         self.visible = _visible_bytes()
         # Only for a pipeline of this kind may letters go to the model at once.
@@ -118,8 +129,18 @@ class Encoder(dict):
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self._text(t) if self.added is None or self.added.search(t) is None else self._parts(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _parts(self, text: str) -> bytes:
+        """A text with the strings of added tokens in it."""
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += [self._text(text[at : m.start()]), self.added_ids[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._text(text[at:])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -151,9 +172,10 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, at: str | None =
     small_batches(spark)
     at = at or scratch(spark, "tokens")
     n = parallel(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(train_dictionary(docs, vocabulary, end_id))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    numbered = rows.withColumn("h", F.xxhash64("text")).withColumn("i", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(n, "doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def shards(batches):
         from pyspark import TaskContext
@@ -194,7 +216,10 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, at: str | None =
             index = np.array(ids, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array([*offsets, pos], "<u8").tobytes() + np.array(sizes, "<u4").tobytes()
             out.write(index + struct.pack("<QQ", len(ids), pos))
             out.close()
-            yield pd.DataFrame([(k, name, len(ids), sum(sizes), pos + len(index) + 16, sha)], columns=["shard", "file", "n_docs", "n_tokens", "n_bytes", "dict_sha256"])
+            known = [i for i, no in zip(ids, nulls, strict=True) if not no]
+            ends = [min(known), max(known)] if known else [None, None]
+            row = [k, name, len(ids), sum(sizes), pos + len(index) + 16, sha, *ends]
+            yield pd.DataFrame([row], columns=[x.split()[0] for x in MANIFEST.split(", ")]).astype({"least": "Int64", "most": "Int64"})
 
     table = written(dealt.mapInPandas(shards, MANIFEST), "manifest")
     return table.withColumn("path", F.concat(F.lit(at + "/"), "file"))
@@ -247,8 +272,8 @@ class Shard:
 
 
 def find_document(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
-    """Ids of one document, by its shard's index."""
-    for r in manifest.select("path").toLocalIterator():
+    """Ids of one document (the first of that id): the manifest tells which shards may hold it, their index where."""
+    for r in manifest.where(F.lit(doc_id).between(F.col("least"), F.col("most"))).orderBy("shard").select("path").toLocalIterator():
         s = Shard(r.path)
         hit = np.flatnonzero((s.ids == doc_id) & (s.nulls == 0))
         if len(hit):

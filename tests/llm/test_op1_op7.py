@@ -12,7 +12,7 @@ from llm_fixtures import documents, saved, table
 from stopgrid.llm import byte_bpe, token_store
 from stopgrid.llm.queries import op1_token_store, op7_byte_bpe
 
-ODD = ["a\x1cb \x85 c　d  \x1d\x1e e", "x" * 3000, "🚎" * 500, "'s'S don't", " \n\n  x", "​́ ½ ² Ⅷ ªº é", "aaaa" * 50, "İSS ſ Σς", "<|endoftext|> a<|endoftext|>b"]
+ODD = ["a\x1cb \x85 c　d  \x1d\x1e e", "x" * 3000, "🚎" * 500, "'s'S don't", " \n\n  x", "​́ ½ ² Ⅷ ªº é", "aaaa" * 50, "İSS ſ Σς", "<|endoftext|> a<|endoftext|>b", "see <|endoftext|> here", "<|startoftext|><|endoftext|>", "x<|STARTOFTEXT|><|startoftext|", "é<|startoftext|>\u0301 é"]
 
 
 def rows_():
@@ -23,8 +23,10 @@ def test_op1_equals_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    rows = sorted(rows_(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    rows = sorted(rows_(), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1] or "", 42))))
     want, at = [], 0
     for d, t, *_ in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -52,6 +54,28 @@ def test_store_reads_one_document_and_checks_dictionary(spark):
             token_store.Shard("file://" + path + "x")
 
 
+def test_special_token_strings_are_recognised_as_the_library_does():
+    enc = token_store.encoder(P.path("word_bpe_49k.json"))
+    ids = np.frombuffer(enc.encode(["see <|endoftext|> here"])[0], enc.type)
+    assert len(ids) == 3 and ids[1] == 49407
+
+
+def test_manifest_tells_where_a_document_is(spark):
+    rows = [(i if i % 3 else None, f"text {i}", "en", "s", 0) for i in range(200)]
+    m = token_store.write_store(table(spark, rows, h=1, i="x").select("doc_id", "text"), P.path("word_bpe_49k.json"), 2)
+    # Rows without id don't fill one shard.
+    assert max(r.n_docs for r in m.collect()) < 120
+    assert m.where("least <= 100 and most >= 100").count() == 1 and len(token_store.find_document(m, 100)) == 5
+
+
+def test_long_text(spark):
+    t = "Straße 42, <|endoftext|> ok\n" * 60_000
+    r = token_store.read_store(spark, token_store.write_store(table(spark, [(1, t, "en", "s", 0)]).select("doc_id", "text"), P.path("word_bpe_49k.json"), 2)).first()
+    from tokenizers import Tokenizer
+
+    assert r.n_tokens == len(Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(t, add_special_tokens=False).ids) + 1
+
+
 def test_empty_tables(spark, tmp_path):
     d = saved(spark, tmp_path, [])
     assert op1_token_store(spark, d).count() == 0 and op7_byte_bpe(spark, d).count() == 0
