@@ -8,33 +8,37 @@ and each is scored once for a worker's cache of CACHE_WORDS.
 
 The probabilities are fitted by expectation-maximisation (forward and backward
 passes give expected piece counts) to the words of about SAMPLE_DOCS documents
-a language, of at most SAMPLE_CHARS code points each, chosen by a hash of their
-id: the documented bound of the training sample. Prediction covers every text
-and all of it.
-
-Defined results: a text that is null or has no letter is ``und`` with score 0;
-without any training document all are; ties go to the first language by name;
-words beyond MAX_WORD letters are scored in parts; repeated rows give repeated
-results; an empty table gives an empty table.
+a language, chosen by a hash of their id, of each at most SAMPLE_CHARS code
+points from a place chosen by that hash: the documented bound of the training
+sample. A language whose documents are all long is learned like any other.
+Prediction covers every text and all of it. The model holds a number for each
+piece and language; more than MAX_LANGS languages are an error, not a cut.
+
+Defined results: a text that is null or has no letter (Unicode category L) is
+``und`` with score 0; without any training document all are; ties go to the
+first language by name; words beyond MAX_WORD letters are scored in parts; a
+text of megabytes is scored whole, a word at a time; repeated rows give repeated
+results; an empty table gives an empty table; lang_pred and score replace
+columns of their name and all others pass through.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import schema_of, small_batches
 
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 20_000
+MAX_LANGS = 2_000
 ROUNDS = 3
 MAX_WORD = 40
 CACHE_WORDS = 300_000
 START = "▁"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 BASE = np.uint64(0x100000001B3)
 
 
@@ -180,10 +184,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def sample_words(train: DataFrame, docs: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, word, n) of the training sample; ``train`` has doc_id, text, lang."""
-    fit = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    fit = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = fit.groupBy("lang").agg(F.count("*").alias("c"))
+    if sizes.limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     share = F.least(F.lit(1.0), F.lit(docs) / F.col("c"))
-    chosen = fit.join(F.broadcast(sizes.orderBy(F.desc("c"), "lang").limit(1000)), "lang").where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = fit.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    beyond = F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)
+    start = F.pmod(F.xxhash64(F.lit(9), "doc_id"), beyond + 1) + 1
+    chosen = chosen.withColumn("text", F.substring("text", start, F.lit(SAMPLE_CHARS)))
     small_batches(train.sparkSession)
 
     def rows(batches):
@@ -269,5 +278,5 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
             got = scorer.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema] + ["lang_pred string, score double"])
+    schema = schema_of(kept, "lang_pred string, score double")
     return kept.mapInArrow(rows, schema)
