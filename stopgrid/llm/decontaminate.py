@@ -6,27 +6,37 @@ suffix of every benchmark item is located in it by binary search, one word
 deeper at a time. A window that occurs is checked byte for byte; windows on one
 diagonal join to the longest verbatim matches, with their places.
 
-Nothing is shuffled. A match never crosses documents (a sentinel word stands
-between them); a document longer than a shard is cut with an overlap of
-WINDOW - 1 words, so memory is bounded. The benchmark is sent to the executors
-in blocks of at most BLOCK_BYTES of text, of which a worker holds one.
+No document is shuffled. A match never crosses documents (a sentinel word stands
+between them); a document longer than a shard is cut, and each piece starts with
+the last WINDOW - 1 words of the one before, so memory is bounded by a shard and
+the longest word. Arrays last for one shard of one batch: they are used once.
+
+The benchmark's size is summed first. If its text has at most BLOCK_BYTES it is
+broadcast. A larger one is cut into pieces by the executors, written to the
+shared folder in blocks of about half of BLOCK_BYTES, and the documents go
+through one pass for each block, with what they have found so far; the driver
+and a worker hold one block at a time.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 A window has WINDOW words; an item with fewer (not none) is one window.
 
 Defined results: a null text has no words and no hits; items without words
 occur nowhere; a null item_id is written ``null``; items with one id count
-once; repeated documents give repeated results; an empty table on either side
-gives no hits.
+once; matches that tie are all given, in order; repeated documents give repeated
+results; an empty table on either side gives no hits; n_words, n_hit, items and
+matches replace columns of their name and all others pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import own_name, schema_of, small_batches, written
 
 WINDOW = 13
 DEPTH = 16
@@ -85,15 +95,16 @@ class Words:
 class Items:
     """A block of benchmark items: their windows, each once, and which items have them where."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str, int, bool, bytes]]):
+        """``items``: (item, words of the item before these bytes, whether they are all of it, bytes)."""
         seen: dict[bytes, int] = {}
         self.text: list[bytes] = []
         self.length: list[int] = []
         self.uses: list[list[tuple[str, int]]] = []
         hashes = []
-        for item, t in items:
-            w = Words(t.encode())
-            n = min(WINDOW, len(w))
+        for item, before, whole, raw in items:
+            w = Words(raw)
+            n = min(WINDOW, len(w)) if whole else WINDOW
             for i in range(len(w) - n + 1 if n else 0):
                 key = w.text(i, n)
                 if key not in seen:
@@ -102,7 +113,7 @@ class Items:
                     self.length.append(n)
                     self.uses.append([])
                     hashes.append(np.concatenate([w.hash[i : i + n], np.zeros(WINDOW - n, np.uint64)]))
-                self.uses[seen[key]].append((item, i))
+                self.uses[seen[key]].append((item, before + i))
         self.hash = np.array(hashes, np.uint64).reshape(-1, WINDOW)
         self.size = np.array(self.length, np.int64)
 
@@ -167,24 +178,24 @@ class SuffixArray:
         return lo, hi
 
 
+_BETWEEN = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+
+
 def _pieces(raw: bytes, most: int):
-    """Cuts of a long text between words; each but the first starts WINDOW - 1 words before the end of the one before."""
-    if len(raw) <= most:
-        yield raw, 0
-        return
-    at = words = 0
+    """(bytes, words before them): a long text cut between words; each piece but the first starts with the last WINDOW - 1 words before it."""
+    at = done = 0
+    carry, carried = b"", 0
     while True:
-        end = min(at + most, len(raw))
-        while end < len(raw) and LOWER[raw[end]]:
-            end += 1
-        yield raw[at:end], words
+        cut = _BETWEEN.search(raw, min(at + most, len(raw)))
+        end = cut.start() if cut else len(raw)
+        piece = carry + b" " + raw[at:end] if carried else raw[at:end]
+        yield piece, done - carried
         if end == len(raw):
             return
-        w = Words(raw[at:end])
-        back = min(WINDOW - 1, len(w))
-        words += len(w) - back
-        start = at + int(w.start[len(w) - back]) if back else end
-        at = start if start > at else end
+        w = Words(piece)
+        done += len(w) - carried
+        carried = min(WINDOW - 1, len(w))
+        carry, at = w.text(len(w) - carried, carried), end
 
 
 def _search(units: list[tuple[int, int, bytes]], items: Items, found: list[dict]) -> None:
@@ -231,73 +242,108 @@ def _result(f: dict, items: Items) -> dict:
     return {"n_words": f["n"], "hit": np.flatnonzero(np.cumsum(mask)[:-1] > 0), "items": sorted({m[0] for m in matches}), "matches": sorted(matches)}
 
 
-MADE = "n_words bigint, n_hit bigint, items array<string>, matches array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>, hit array<bigint>"
+NAMES = ("n_words", "n_hit", "items", "matches")
+MADE = "n_words bigint, n_hit bigint, items array<string>, matches array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of at most ``most`` bytes of text (a longer item is a block of its own)."""
-    out, size = [[]], 0
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(text, F.lit("")).alias("t"))
-    for r in rows.toLocalIterator():
-        n = len(r.t.encode())
-        if out[-1] and size + n > most:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
-        size += n
-    return out
+def item_pieces(benchmark: DataFrame, item_id: str, text: str, most: int) -> DataFrame:
+    """(item, before, whole, raw): the items' texts, long ones in pieces of about ``most`` bytes."""
+    small_batches(benchmark.sparkSession)
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.coalesce(text, F.lit("")).alias("t"))
 
+    def cut(batches):
+        import pyarrow as pa
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (ids with occurring windows), and matches (maximal verbatim runs).
+        for b in batches:
+            out = []
+            for item, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                cuts = list(_pieces(t.encode(), most))
+                if len(cuts) == 1 or cuts[-1][1] + len(Words(cuts[-1][0])) < WINDOW:
+                    out.append((item, 0, True, t.encode()))
+                else:
+                    out += [(item, before, False, raw) for raw, before in cuts]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["item", "before", "whole", "raw"])
+
+    return rows.mapInArrow(cut, "item string, before bigint, whole boolean, raw binary")
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int):
+    """Lists of (item, before, whole, raw), each of about ``most`` bytes at most, one after the other."""
+    total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    pieces = item_pieces(benchmark, item_id, text, max(1 << 10, most // 4))
+    take = lambda df: [(r.item, r.before, r.whole, bytes(r.raw)) for r in df.collect()]
+    if total <= most:
+        yield take(pieces)
+        return
+    n = -(-2 * total // most)
+    table = written(pieces.withColumn("block", F.pmod(F.xxhash64("item", "before"), F.lit(n))).repartition("block"), "benchmark")
+    for k in range(n):
+        yield take(table.where(F.col("block") == k).drop("block"))
 
-    Each block of the benchmark is one pass; one block, the usual case, is one
-    pass without a shuffle.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    names = [x.split(" ")[0] for x in ("n_words", "n_hit", "items", "matches", "hit")]
-    kept = docs.select(*[c for c in docs.columns if c not in names or c == text])
-    keep = [c for c in kept.columns if c not in names]
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema if x.name in keep] + [MADE])
 
-    parts = blocks(benchmark, item_id, item_text, block_bytes)
-    shared = [spark.sparkContext.broadcast(p) for p in parts]
+def _pass(docs: DataFrame, block: list, text: str, shard_bytes: int, first: bool, hit: str) -> DataFrame:
+    """``docs`` with what one block of the benchmark finds, added to what others found."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(block)
+    own = docs.select(*[c for c in docs.columns if c not in (*NAMES, hit) or c == text]) if first else docs
+    keep = [c for c in own.columns if c not in NAMES and c != hit]
+    schema = schema_of(own.select(*keep), f"{MADE}, `{hit}` array<bigint>")
 
     def rows(batches):
         import pyarrow as pa
 
-        items = [Items(b.value) for b in shared] if len(shared) == 1 else None
+        items = Items(shared.value)
         kind = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
         for b in batches:
             texts = [(x or "").encode() for x in b.column(text).to_pylist()]
-            out = [{"n": 0, "hits": [[] for _ in shared]} for _ in texts]
-            for k, block in enumerate(shared):
-                own = items[0] if items else Items(block.value)
-                found = [{"n": 0, "hits": []} for _ in texts]
-                units, size = [], 0
-                for d, raw in enumerate(texts):
-                    for piece, offset in _pieces(raw, shard_bytes):
-                        if units and size + len(piece) > shard_bytes:
-                            _search(units, own, found)
-                            units, size = [], 0
-                        units.append((d, offset, piece))
-                        size += len(piece) + 1
-                if units:
-                    _search(units, own, found)
-                for o, f in zip(out, found, strict=True):
-                    o["n"] = f["n"]
-                    o["hits"][k] = _result(f, own)
-            done = []
-            for o in out:
-                hit = np.unique(np.concatenate([r["hit"] for r in o["hits"]]))
-                done.append((o["n"], hit, sorted({i for r in o["hits"] for i in r["items"]}), sorted(m for r in o["hits"] for m in r["matches"])))
+            found = [{"n": 0, "hits": []} for _ in texts]
+            units, size = [], 0
+            for d, raw in enumerate(texts):
+                for piece, offset in _pieces(raw, shard_bytes):
+                    if units and size + len(piece) > shard_bytes:
+                        _search(units, items, found)
+                        units, size = [], 0
+                    units.append((d, offset, piece))
+                    size += len(piece) + 1
+            if units:
+                _search(units, items, found)
+            done = [_result(f, items) for f in found]
+            if not first:
+                was = [b.column(c).to_pylist() for c in ("items", "matches", hit)]
+                for r, i, m, h in zip(done, *was, strict=True):
+                    r["items"] = sorted({*r["items"], *i})
+                    r["matches"] = _joined([*r["matches"], *[tuple(x.values()) for x in m]])
+                    r["hit"] = np.union1d(r["hit"], np.array(h, np.int64))
             cols = [b.column(c) for c in keep]
-            cols += [pa.array([x[0] for x in done], pa.int64()), pa.array([len(x[1]) for x in done], pa.int64()), pa.array([x[2] for x in done], pa.list_(pa.string()))]
-            cols += [pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in x[3]] for x in done], pa.list_(kind)), pa.array([x[1] for x in done], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
+            cols += [pa.array([r["n_words"] for r in done], pa.int64()), pa.array([len(r["hit"]) for r in done], pa.int64()), pa.array([r["items"] for r in done], pa.list_(pa.string()))]
+            cols += [pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in r["matches"]] for r in done], pa.list_(kind)), pa.array([r["hit"] for r in done], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *NAMES, hit])
+
+    return own.mapInArrow(rows, schema)
+
 
-    return kept.mapInArrow(rows, schema).drop("hit")
+def _joined(matches: list[tuple]) -> list[tuple]:
+    """Matches of which those that meet on one diagonal, as pieces of an item may give, are one."""
+    out: list[tuple] = []
+    for item, _, start, i, n in sorted((m[0], m[1] - m[2], m[1], m[2], m[3]) for m in matches):
+        if out and out[-1][0] == item and out[-1][1] - out[-1][2] == start - i and start <= out[-1][1] + out[-1][3] - WINDOW + 1:
+            last = out.pop()
+            out.append((*last[:3], max(last[3], start + n - last[1])))
+        else:
+            out.append((item, start, i, n))
+    return sorted(out)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (ids with occurring windows), and matches (maximal verbatim runs)."""
+    small_batches(docs.sparkSession)
+    hit = own_name("__hit", docs)
+    out = None
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        # Beyond the first block, what has been found is kept in the shared folder.
+        out = _pass(docs, block, text, shard_bytes, True, hit) if out is None else _pass(written(out, "decontaminated"), block, text, shard_bytes, False, hit)
+    return out.drop(hit)
 
 
 def contaminated():

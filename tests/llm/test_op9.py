@@ -48,7 +48,7 @@ def test_op9_equals_brute_force(spark, tmp_path, monkeypatch, shard):
     rows, items = cases()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = Counter((d, *brute(t, items)) for d, t, *_ in rows)
-    found = decontaminate.find_contamination(table(spark, rows, n_hit=1, items="x"), bench, shard_bytes=shard, block_bytes=1 << 23 if shard > 1000 else 200)
+    found = decontaminate.find_contamination(table(spark, rows, n_hit=1, items="x"), bench, shard_bytes=shard, block_bytes=1 << 23 if shard > 1000 else 1500)
     from pyspark.sql import functions as F
 
     got = found.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), decontaminate.contaminated())
@@ -73,3 +73,23 @@ def test_op9_empty(spark, tmp_path):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.n_hit for r in op9_decontamination(spark, saved(spark, tmp_path, documents(5), benchmark=none)).collect()] == [0] * len(documents(5))
     assert decontaminate.find_contamination(table(spark, []), none).count() == 0
+
+
+def test_long_texts_keep_their_words_across_cuts():
+    r = random.Random(4)
+    parts = ["!" * 900, " ".join(f"w{i}" for i in range(8)), "." * 700, "x" * 800, " ".join(f"v{r.randint(0, 9)}" for _ in range(300)), "-" * 2000, "tail"]
+    raw = " ".join(parts).encode()
+    want = words(raw.decode())
+    for most in (100, 333, 5000):
+        seen = {}
+        for piece, before in decontaminate._pieces(raw, most):
+            w = decontaminate.Words(piece)
+            for i in range(len(w)):
+                assert seen.setdefault(before + i, w.text(i, 1).decode()) == w.text(i, 1).decode()
+        assert [seen[i] for i in range(len(want))] == want and len(seen) == len(want)
+
+
+def test_clashing_columns_pass(spark):
+    rows, items = cases()
+    out = decontaminate.find_contamination(table(spark, rows[:5], hit=7, __hit="x", n_hit="gone"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.hit, x["__hit"]) for x in out.collect()} == {(7, "x")} and dict(out.dtypes)["n_hit"] == "bigint"
