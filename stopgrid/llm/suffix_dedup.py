@@ -28,7 +28,10 @@ first copy of equal runs and equal strings and given out the spans of the rest.
 
 Defined results: a null text is empty; rows with a null doc_id come first; rows
 with one doc_id are ordered by a hash of the text, and rows with both the same
-are one document; an empty table gives an empty table.
+are one document; equal strings keep the first by that order and place; a text
+of megabytes is cut into pieces of CHUNK bytes that overlap by LENGTH - 1; an
+empty table gives an empty table; n_bytes, n_removed, n_spans and kept replace
+columns of their name and all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_SHARE, parallel, small_batches, written
+from .common import HEAVY_SHARE, own_name, parallel, schema_of, small_batches, written
 
 LENGTH = 100
 GRAM = 32
 CHUNK = 2 << 20
 BITMAP_BITS = 1 << 28
+#: The bitmap is built in parts of so many bits (a power of two), each by one task.
+PART_BITS = 18
 HOT_LEAST = 2_000
 #: Runs or strings of hot grams that a task holds before it deals them out.
 HELD = 20_000
@@ -210,9 +215,22 @@ def _bitmap(found: DataFrame, n: int) -> np.ndarray:
         bits += 1
     # By the low half: anchors are grams whose high half is small.
     at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = found.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    part_bits = min(bits, PART_BITS)
+
+    def part(table):
+        """The bits of one part of the map, set in the task that counts the part's grams."""
+        import pyarrow as pa
+
+        own = np.zeros(1 << (part_bits - 6), np.uint64)
+        x = table.column("at").to_numpy().astype(np.uint64) & np.uint64((1 << part_bits) - 1)
+        np.bitwise_or.at(own, (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([own.tobytes()], pa.binary())})
+
+    parts = found.select(F.shiftright(at, part_bits).alias("part"), at.alias("at")).groupBy("part").applyInArrow(part, "part bigint, bits binary")
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    step = 1 << (part_bits - 6)
+    for r in parts.toLocalIterator():
+        out[r.part * step : (r.part + 1) * step] = np.frombuffer(r.bits, np.uint64)
     return out
 
 
@@ -404,9 +422,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(*[c for c in docs.columns if c not in made])
     keep = own.columns
     spans = repeated_spans(docs, doc_id, text, length, gram)
-    keyed = own.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(spans, (F.col("__d") == F.col("d")) & (F.col("__t") == F.col("t")), "left").select(*keep, "spans")
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in own.schema] + ["n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
+    d, t, cuts = (own_name(x, own) for x in ("__d", "__t", "__spans"))
+    keyed = own.withColumn(d, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(spans, (keyed[d] == spans["d"]) & (keyed[t] == spans["t"]), "left").select(*[keyed[c] for c in keep], spans["spans"].alias(cuts))
+    schema = schema_of(own, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     small_batches(spark)
 
     def cut(batches):
@@ -414,7 +433,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         for b in batches:
             out = []
-            for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for t, s in zip(b.column(text).to_pylist(), b.column(cuts).to_pylist(), strict=True):
                 raw = (t or "").encode()
                 left, at, n, removed = [], 0, 0, 0
                 end = -1

@@ -60,7 +60,8 @@ def test_short_lengths(spark, monkeypatch, chunk):
 
     monkeypatch.setattr(S._units, "__defaults__", (chunk,))
     rows = rows_()
-    out = S.remove_repeats(table(spark, rows, n_bytes=1, kept="x"), length=21, gram=9)
+    out = S.remove_repeats(table(spark, rows, n_bytes=1, kept="x", d=5, t="t", spans="s", __d=1, __spans=2), length=21, gram=9)
+    assert {(x.d, x.t, x.spans, x["__d"], x["__spans"]) for x in out.collect()} == {(5, "t", "s", 1, 2)}
     got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert Counter(tuple(r) for r in got.collect()) == brute(rows, 21)
 
@@ -76,5 +77,12 @@ def test_runs_cover_each_string_once():
     assert all(a <= p and p + S.GRAM <= a + S.LENGTH and b <= p for a, b, p in zip(first, last, place, strict=True))
 
 
+def test_bitmap_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_BITS", 7)
+    h = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 500)
+    got = S._bitmap(spark.createDataFrame([(int(x),) for x in h], "h bigint"), len(h))
+    assert S._in(got, h.view(np.uint64)).all() and np.bitwise_count(got).sum() <= len(h)
+
+
 def test_op10_empty(spark, tmp_path):
     assert op10_suffix_dedup(spark, saved(spark, tmp_path, [])).count() == 0
