@@ -16,9 +16,11 @@ and what remains is joined with the counts; a key in very many documents is
 broadcast (see ``join_by_count``), so it fills no task.
 
 Defined results: a null or empty text is one empty line; keys without code
-points never count; repeated rows are documents of their own; an empty table
-has no keys; ``n_lines``, ``n_dropped`` and the text replace columns of their
-name.
+points never count; repeated rows are documents of their own; a line that is in
+exactly ``min_docs`` documents goes (no ties: a key is over the limit or not);
+an empty table has no keys; a text of megabytes is cut into lines whole;
+``n_lines``, ``n_dropped`` and the text replace columns of their name, all
+others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_count, parallel, scratch, small_batches, written
+from .common import join_by_count, own_name, parallel, schema_of, scratch, small_batches, written
 
 MIN_DOCS = 10
 SHARD_KEYS = 1 << 20
@@ -75,36 +77,58 @@ class CuckooFilter:
         i, j = self._places(a, mark)
         return (self.table[i] == mark[:, None]).any(1) | (self.table[j] == mark[:, None]).any(1)
 
+    def _put(self, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Put marks into free slots of their buckets, as far as there are; which found none."""
+        order = np.argsort(place, kind="stable")
+        p = place[order]
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+        nth = np.arange(len(p)) - np.repeat(first, np.diff(np.concatenate([first, [len(p)]])))
+        free = self.table[p] == 0
+        fits = nth < free.sum(1)
+        slot = np.argmax(free.cumsum(1) > nth[:, None], axis=1)
+        self.table[p[fits], slot[fits]] = mark[order][fits]
+        return order[~fits]
+
     def insert(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Put each key in once; False if the table is too full, which leaves it unusable."""
         mark = self._mark(b)
-        first, second = self._places(a, mark)
+        first, second = (x.astype(np.int64) for x in self._places(a, mark))
+        left = self._put(first, mark)
+        left = left[self._put(second[left], mark[left])]
+        # What is left displaces others: few keys, as buckets are seldom full.
         t, r = self.table, 1
-        for m, i, j in zip(mark.tolist(), first.tolist(), second.tolist(), strict=True):
-            for kick in range(500):
-                place = i if kick == 0 else j if kick == 1 else place  # noqa: F821
+        for m, place in zip(mark[left].tolist(), second[left].tolist(), strict=True):
+            for _ in range(500):
                 free = np.flatnonzero(t[place] == 0)
                 if len(free):
                     t[place, free[0]] = m
                     break
-                if kick:
-                    r = (r * 1103515245 + 12345) & 0x7FFFFFFF
-                    slot = r % self.SLOTS
-                    m, t[place, slot] = int(t[place, slot]), m
-                    place = int(self._other(np.array([place], np.uint64), np.array([m], np.uint16))[0])
+                r = (r * 1103515245 + 12345) & 0x7FFFFFFF
+                slot = (r >> 8) % self.SLOTS
+                m, t[place, slot] = int(t[place, slot]), m
+                place = int(self._other(np.array([place], np.uint64), np.array([m], np.uint16))[0])
             else:
                 return False
         return True
 
+    def _take(self, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Take marks out of their buckets, one slot for each; which weren't there."""
+        order = np.lexsort((mark, place))
+        p, m = place[order], mark[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (m[1:] != m[:-1])])) if len(p) else np.zeros(0, np.int64)
+        nth = np.arange(len(p)) - np.repeat(first, np.diff(np.concatenate([first, [len(p)]])))
+        own = self.table[p] == m[:, None]
+        found = nth < own.sum(1)
+        slot = np.argmax(own.cumsum(1) > nth[:, None], axis=1)
+        self.table[p[found], slot[found]] = 0
+        return order[~found]
+
     def delete(self, a: np.ndarray, b: np.ndarray) -> None:
         """Take each key out once; it must be in."""
         mark = self._mark(b)
-        for m, i, j in zip(mark.tolist(), *[x.tolist() for x in self._places(a, mark)], strict=True):
-            for place in (i, j):
-                own = np.flatnonzero(self.table[place] == m)
-                if len(own):
-                    self.table[place, own[0]] = 0
-                    break
+        first, second = (x.astype(np.int64) for x in self._places(a, mark))
+        left = self._take(first, mark)
+        self._take(second[left], mark[left])
 
     def dump(self) -> bytes:
         return self.table.astype("<u2").tobytes()
@@ -282,7 +306,7 @@ def drop_lines(docs: DataFrame, state: LineState, text: str = "text") -> DataFra
     small_batches(spark)
     kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
     keep = kept.columns
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema] + ["n_lines bigint", "n_dropped bigint"])
+    schema = schema_of(kept, "n_lines bigint, n_dropped bigint")
     over = state.counts.where(F.col("n") >= state.min_docs)
     if state.over <= LOCAL_KEYS:
         keys = over.select("a", "b").toArrow()
@@ -349,20 +373,34 @@ def drop_lines(docs: DataFrame, state: LineState, text: str = "text") -> DataFra
 
         for batch in batches:
             t1, t2 = _pairs([xxhash.xxh3_128_digest(t or "") for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64))], [*keep, "t1", "t2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64))], [*keep, h1, h2])
 
-    named = kept.mapInArrow(hashed, ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema] + ["t1 bigint", "t2 bigint"]))
-    joined = named.join(hits, ["t1", "t2"], "left").select(*keep, "__drop")
+    h1, h2, drop = (own_name(x, kept) for x in ("__t1", "__t2", "__drop"))
+    named = kept.mapInArrow(hashed, schema_of(kept, f"`{h1}` bigint, `{h2}` bigint"))
+    joined = named.join(hits, (named[h1] == hits["t1"]) & (named[h2] == hits["t2"]), "left").select(*[named[c] for c in keep], hits["__drop"].alias(drop))
 
     def apply(batches):
         for b in batches:
-            lists = b.column("__drop").to_pylist()
+            lists = b.column(drop).to_pylist()
             sets = [{np.array([x["a"], x["b"]], "<i8").tobytes() for x in d or ()} for d in lists]
             yield _clean(b, text, keep, lambda rows, sets=sets: sets)
 
     return joined.mapInArrow(apply, schema)
 
 
+def grown_state(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> LineState:
+    """The state of ``docs``, built from some of them, with others added and some that came twice taken out again.
+
+    It is what ``build_state`` gives, reached as a corpus that grows and shrinks would: the filters take insertions and
+    deletions. Quarters are by a hash of the text, so any table, ids or none, can be dealt so.
+    """
+    quarter = F.pmod(F.xxhash64(F.lit(5), F.coalesce(F.col(text), F.lit(""))), F.lit(4))
+    of = lambda *k: docs.where(quarter.isin(*k))
+    state = build_state(of(0, 1, 2), text, min_docs)
+    state = update_state(state, of(3).unionByName(of(0)), 1, text)
+    return update_state(state, of(0), -1, text)
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, groups: DataFrame | None = None) -> DataFrame:
     """``drop_lines`` by the state of the documents themselves; ``groups`` as in ``_counted``."""
     return drop_lines(docs, build_state(docs, text, min_docs, groups), text)

@@ -7,8 +7,9 @@ lookahead. They accept the same leftmost, non-overlapping matches.
 
 Defined results: a null text is empty and has no spans; ties cannot occur
 within a kind (spans of one kind never overlap); repeated rows give repeated
-results; an empty table gives an empty table; other columns pass through and
-``spans`` replaces a column of that name.
+results; an empty table gives an empty table; a text of any length is searched
+whole, in time that grows with its length; other columns pass through, whatever
+their names, and ``spans`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, prefix_sums, text_of
+from .common import held, own_name, prefix_sums, text_of
 
 #: Local part: a whole run of its class, or what is left of it after the match before (\G).
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]+?(?![A-Za-z0-9-]|\.[A-Za-z0-9-])"
@@ -78,9 +79,7 @@ RULES = {
 }
 
 
-def _span_of(k: str):
-    gap, before = F.col(f"__g_{k}"), F.col(f"__b_{k}")
-
+def _span_of(k: str, gap: Column, before: Column):
     def span(m: Column, i: Column) -> Column:
         start = before[i] + F.length(gap[i])
         near = F.concat(F.substring(gap[i], -NEAR, NEAR), F.lit(" "), F.substring(gap[i + 1], 1, NEAR)).rlike(CONTEXT[k])
@@ -97,23 +96,26 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS
     0.3 more if a checksum or range confirms it, 0.2 more if a context word
     stands within NEAR code points (up to the next span of the kind).
     """
-    out = docs.drop("spans").withColumn("__t", text_of(docs[text]))
+    own = [c for c in docs.columns if c != "spans"]
+    # Columns made on the way get names that no column of docs has.
+    made = {x: own_name(f"__{x}", docs) for x in ("t", *[f"{p}_{k}" for p in "mgb" for k in kinds])}
+    t = made["t"]
+    out = docs.select(*own).withColumn(t, text_of(F.col(text)))
     for k in kinds:
         pattern, _, may = RULES[k]
-        out = out.withColumn(f"__m_{k}", F.when(may(F.col("__t")) & held(), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(made[f"m_{k}"], F.when(may(F.col(t)) & held(), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for k in kinds:
-        out = out.withColumn(f"__g_{k}", F.when((F.size(f"__m_{k}") > 0) & held(), F.split("__t", RULES[k][0], -1)).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(made[f"g_{k}"], F.when((F.size(made[f"m_{k}"]) > 0) & held(), F.split(t, RULES[k][0], -1)).otherwise(F.array().cast("array<string>")))
     for k in kinds:
-        gap, hit = F.col(f"__g_{k}"), F.col(f"__m_{k}")
+        gap, hit = F.col(made[f"g_{k}"]), F.col(made[f"m_{k}"])
         steps = F.zip_with(F.slice(gap, 1, F.size(hit)), hit, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-        out = out.withColumn(f"__b_{k}", F.when((F.size(hit) > 0) & held(), prefix_sums(steps)).otherwise(F.array().cast("array<bigint>")))
+        out = out.withColumn(made[f"b_{k}"], F.when((F.size(hit) > 0) & held(), prefix_sums(steps)).otherwise(F.array().cast("array<bigint>")))
     spans = []
     for k in kinds:
         confirm = RULES[k][1]
-        found = F.transform(f"__m_{k}", _span_of(k))
+        found = F.transform(made[f"m_{k}"], _span_of(k, F.col(made[f"g_{k}"]), F.col(made[f"b_{k}"])))
         spans.append(F.filter(found, lambda s: confirm(s["value"])) if confirm else found)  # noqa: B023  called at once
-    out = out.withColumn("spans", F.concat(*[s.cast(SPAN_TYPE) for s in spans]))
-    return out.select(*[c for c in docs.columns if c != "spans"], "spans")
+    return out.withColumn("spans", F.concat(*[s.cast(SPAN_TYPE) for s in spans])).select(*own, "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -122,7 +124,16 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with each value found replaced by its kind in brackets."""
+    """``docs`` with each span replaced by its kind in brackets; a span that begins within an earlier one goes with that."""
     found = find_pii(docs, text)
-    clean = F.aggregate(F.filter("spans", lambda s: s["score"] >= least), text_of(F.col(text)), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
+    whole = text_of(F.col(text))
+    ordered = F.array_sort(F.transform(F.filter("spans", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        clear = s["start"] >= a["at"]
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(clear, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
+
+    clean = F.aggregate(ordered, none, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(whole, (a["at"] + 1).cast("int"), F.length(whole))))
     return found.withColumn(text, clean)

@@ -51,15 +51,16 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that many documents hold."""
-    out = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
+    """Every document without the lines that many documents hold, by a state that has seen insertions and deletions."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = line_dedup.drop_lines(docs, line_dedup.grown_state(docs, min_docs=10))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return quality_rules.rule_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_chars", "kept")
+    return quality_rules.rule_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_chars", "n_line_words", "kept")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

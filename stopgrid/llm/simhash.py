@@ -5,19 +5,23 @@ segments are a point whose Manhattan distance to another point is at most the
 Hamming distance of the fingerprints. The points are cut into bits + a parts:
 at a distance of ``bits`` or less at most ``bits`` parts differ, so two near
 points agree on a parts and meet in that cell of the grid; a grows with the
-logarithm of the number of points (see AGREE). Within a cell the
-Manhattan distance filters, then the Hamming distance decides. The result is
-exact: no link is lost.
+logarithm of the number of points (see AGREE). So the range join under the
+Manhattan distance is an equality on parts of the grid, exact by the pigeonhole,
+and no task scans a range. Within a cell the Manhattan distance filters, then
+the Hamming distance decides. The result is exact: no link is lost.
 
 Equal fingerprints are one node from the start. A cell gives a spanning forest
 of its links, not all pairs: its component structure is the same. Cells with
 more than CELL nodes are cut into blocks and each pair of blocks is a task's
-work, so no task holds more than two blocks. Links, components and fingerprints
-stay distributed.
+work, so no task holds more than two blocks; a cell of n different fingerprints
+deals n * n / CELL rows. Links, components and fingerprints stay distributed.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
-other; component_id is the least non-null doc_id reachable, null if there is
-none; repeated rows fall into one component; an empty table gives an empty one.
+other; a bit that is set in exactly half the hashes is 0; component_id is the
+least non-null doc_id reachable, null if there is none; repeated rows fall into
+one component; a text of megabytes is hashed whole, in blocks of shingles; an
+empty table gives an empty one; only the id and the text are read, whatever
+other columns there are.
 """
 
 from __future__ import annotations
@@ -305,11 +309,9 @@ def similar_links(docs: DataFrame, text: str, shingle: int, table: DataFrame, of
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int, number: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """The table of fingerprints with a node for each row, and (node, component, component_id, n)."""
-    spark = docs.sparkSession
     node = F.element_at("fps", 1) if number == 1 else F.xxhash64("fps")
     table = written(fingerprint_table(docs, doc_id, text, shingle, number, similar).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     # Several fingerprints meet by chance that many times as often: smaller cells.
     found = written(links(nodes, bits, 3 if number == 1 else 4).distinct(), "links")
     of = connected_components(found)
@@ -318,8 +320,10 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int,
         found = found.unionByName(written(similar_links(docs, text, shingle, table, of).where("a <> b").distinct(), "similar"))
         of = connected_components(found)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return table, written(named.join(best, "component").select("node", "component", "component_id", "n"), "labels")
+    best = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("__nodes"))
+    # A component may hold a large part of all nodes.
+    labels = join_by_count(named, best, ["component"], "__nodes", nodes.count())
+    return table, written(labels.select("node", "component", "component_id", "n"), "labels")
 
 
 def _rows(table: DataFrame, labels: DataFrame) -> DataFrame:

@@ -89,24 +89,62 @@ def test_op6_counts_equal_brute_force(spark, tmp_path):
     assert got == Counter((d, *counts(t)) for d, t, *_ in rows)
 
 
-def test_rules_reject_depleted(spark, monkeypatch):
-    line = " ".join(f"shared{i}" for i in range(60))
-    rows = [(i, f"{line}\nown {i} " + " ".join(f"w{i}_{j}" for j in range(200 if i % 5 else 3)) + ("" if i % 5 else "\n" + f"t{i} " * 1), "en", "h" if i < 20 else None, 0) for i in range(30)]
-    rows += rows[:2]
+def brute_verdicts(rows, share, least, left):
+    """(doc_id, n_line_chars, n_line_words, kept_text, kept) by loops over all rows."""
+    low = lambda x: x.strip(" \t\n\r\x0b\x0c").lower()
+    texts, holders = {}, {}
+    for _, t, _, host, _ in rows:
+        texts.setdefault(host, set()).add(t or "")
+        for x in (t or "").split("\n"):
+            holders.setdefault((host, low(x)), set()).add(t or "")
+    gone = {k for k, v in holders.items() if k[1] and len(v) > least and len(v) > share * len(texts[k[0]])}
+    out = Counter()
+    for d, t, _, host, _ in rows:
+        lines = (t or "").split("\n")
+        cut = [low(x) for x in lines if (host, low(x)) in gone]
+        chars, words = sum(map(len, cut)), sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in cut)
+        kept = "\n".join(x for x in lines if (host, low(x)) not in gone) if cut else t
+        n, fail = len(t or ""), counts(t)
+        out[(d, chars, words, kept, not (fail[5] or n - chars < left * n or fail[0] - words < 50))] += 1
+    return out
+
+
+def rule_rows():
+    import random
+
+    r = random.Random(7)
+    line = " ".join(f"Shared{i}" for i in range(60))
+    rows = [(i, f"{line}\nown {i} " + " ".join(f"w{i}_{j}" for j in range(200 if i % 5 else 3)), "en", "h" if i < 20 else None, 0) for i in range(30)]
+    rows += rows[:2]  # rows that are repeated
+    rows += [(100 + i, rows[0][1], "en", "copies", 0) for i in range(30)]  # copies are one document
+    rows += [(200 + i, "\n".join([f"  {line.upper()} "] * 3 + [f"o{i}_{j} " + " ".join(f"{r.random():.3f}" for _ in range(12)) for j in range(6)]), "en", "mixed", 0) for i in range(40)]
+    rows += [(300 + i, " ".join(f"x{i}_{j}" for j in range(60)), "en", "mixed", 0) for i in range(200)]
+    return rows + documents(10)
+
+
+def test_op6_verdicts_equal_brute_force(spark, monkeypatch):
+    rows = rule_rows()
     for bound in (500_000, 0):
         monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
         monkeypatch.setattr(quality_rules, "HEAVY_SHARE", 2)
-        out = quality_rules.rule_verdicts(table(spark, rows, kept=1), max_docs=5).collect()
-        by = Counter((r.doc_id, r.n_line_chars, r.kept) for r in out)
-        assert len(out) == len(rows)
-        assert by[(1, len(line), True)] == 2
-        # the shared line is the longest of the short documents, so those count as one; the long ones make it frequent
-        assert all(r.n_line_chars == len(line) for r in out) and {r.kept for r in out if r.doc_id % 5 == 0} == {False}
+        out = quality_rules.rule_verdicts(table(spark, rows, kept=1, __th="x", th="y", __t=3), least_docs=5).collect()
+        got = Counter((r.doc_id, r.n_line_chars, r.n_line_words, r.kept_text, r.kept) for r in out)
+        assert got == brute_verdicts(rows, 0.05, 5, 0.2)
+        assert all((r["__th"], r.th, r["__t"]) == ("x", "y", 3) for r in out)
+        assert any(not r.base_failed and not r.kept for r in out)  # by lines alone
+        assert {r.kept for r in out if r.source == "copies"} == {False} or all(r.n_line_chars == 0 for r in out if r.source == "copies")
     assert quality_rules.rule_verdicts(table(spark, [])).count() == 0
 
 
-def test_rules_spare_copies(spark):
-    long, line = " ".join(f"long{i}" for i in range(90)), " ".join(f"shared{i}" for i in range(60))
-    # most documents that hold the lines share their longest one: copies, some with edits
-    rows = [(i, f"{long if i % 3 else long + f' edit{i}'}\n{line}", "en", "h", 0) for i in range(30)]
-    assert all(r.kept and r.n_line_chars == 0 for r in quality_rules.rule_verdicts(table(spark, rows), max_docs=5).collect())
+def test_long_texts_and_clashing_columns(spark):
+    t = "word a@b.cc\n" * 200_000 + "4111 1111 1111 1111"
+    df = table(spark, [(1, t, "en", "s", 0), (2, None, "en", "s", 0)], __t="mine", __m_email=1, spans=2)
+    r = {x.doc_id: x for x in pii.find_pii(df).collect()}
+    assert len(r[1].spans) == 200_001 and r[1]["__t"] == "mine" and r[2].spans == []
+    v = {x.doc_id: x for x in quality_rules.rule_verdicts(df).collect()}
+    assert v[1].n_words == 400_004 and v[1].base_failed and not v[2].kept
+
+
+def test_redact_by_place(spark):
+    t = "no 1.2.3.456, 1.2.3.45 and 1.2.3.4 then x@y.zz!"
+    assert pii.redact(table(spark, [(1, t, "en", "s", 0)])).first().text == "no 1.2.3.456, [ip] and [ip] then [email]!"

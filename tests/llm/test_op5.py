@@ -56,6 +56,21 @@ def test_state_is_reversible(spark):
     assert over(back) == over(first)
 
 
+def test_clashing_columns_and_long_texts(spark, monkeypatch):
+    rows = [*rows_(30), (7000, "All rights reserved\nown line " * 80_000, "en", "s", 0)]
+    for local in (250_000, 0):
+        monkeypatch.setattr(L, "LOCAL_KEYS", local)
+        out = L.dedup_lines(table(spark, rows, t1=1, t2="b", __t1=3, __drop="c", n_dropped=9)).collect()
+        assert {(r.t1, r.t2, r["__t1"], r["__drop"]) for r in out} == {(1, "b", 3, "c")}
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in out) == brute(rows, 10)
+
+
+def test_grown_state_is_a_fresh_one(spark):
+    rows = rows_(90)
+    fresh, grown = L.build_state(table(spark, rows), min_docs=8), L.grown_state(table(spark, rows), min_docs=8)
+    assert sorted(map(tuple, grown.counts.collect())) == sorted(map(tuple, fresh.counts.collect())) and grown.over == fresh.over
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     k = r.integers(0, 1 << 63, (4000, 2), dtype=np.uint64)
