@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stopgrid.operators.components import connected_components
 
-from .common import join_by_count, parallel, small_batches, written
+from .common import join_by_count, own_name, parallel, small_batches, written
 
 SEED = 42
 CELL = 4096
@@ -357,7 +357,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     rows = _rows(*_labelled(docs, doc_id, text, shingle, bits, number, True))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("__d"), F.col("x.th").alias("__t"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))
+    h = own_name("__h", docs)
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    on = keyed[doc_id].cast("long").eqNullSafe(kept["__d"]) & (keyed[h] == kept["__t"])
     # The join deals rows by id and hash, so rows that are repeats meet and one of them stays.
-    return keyed.join(kept, on, "left_semi").dropDuplicates([doc_id, "__h"]).drop("__h")
+    return keyed.join(kept, on, "left_semi").dropDuplicates([doc_id, h]).drop(h)

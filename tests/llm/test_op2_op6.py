@@ -90,7 +90,7 @@ def test_op6_counts_equal_brute_force(spark, tmp_path):
 
 
 def brute_verdicts(rows, share, least, left):
-    """(doc_id, n_line_chars, n_line_words, kept_text, kept) by loops over all rows."""
+    """(doc_id, n_line_chars, n_line_words, kept_text, kept) of each row, by loops over all rows."""
     low = lambda x: x.strip(" \t\n\r\x0b\x0c").lower()
     texts, holders = {}, {}
     for _, t, _, host, _ in rows:
@@ -98,14 +98,14 @@ def brute_verdicts(rows, share, least, left):
         for x in (t or "").split("\n"):
             holders.setdefault((host, low(x)), set()).add(t or "")
     gone = {k for k, v in holders.items() if k[1] and len(v) > least and len(v) > share * len(texts[k[0]])}
-    out = Counter()
+    out = []
     for d, t, _, host, _ in rows:
         lines = (t or "").split("\n")
         cut = [low(x) for x in lines if (host, low(x)) in gone]
         chars, words = sum(map(len, cut)), sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in cut)
         kept = "\n".join(x for x in lines if (host, low(x)) not in gone) if cut else t
         n, fail = len(t or ""), counts(t)
-        out[(d, chars, words, kept, not (fail[5] or n - chars < left * n or fail[0] - words < 50))] += 1
+        out.append((d, chars, words, kept, not (fail[5] or n - chars < left * n or fail[0] - words < 50)))
     return out
 
 
@@ -129,7 +129,7 @@ def test_op6_verdicts_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(quality_rules, "HEAVY_SHARE", 2)
         out = quality_rules.rule_verdicts(table(spark, rows, kept=1, __th="x", th="y", __t=3), least_docs=5).collect()
         got = Counter((r.doc_id, r.n_line_chars, r.n_line_words, r.kept_text, r.kept) for r in out)
-        assert got == brute_verdicts(rows, 0.05, 5, 0.2)
+        assert got == Counter(brute_verdicts(rows, 0.05, 5, 0.2))
         assert all((r["__th"], r.th, r["__t"]) == ("x", "y", 3) for r in out)
         assert any(not r.base_failed and not r.kept for r in out)  # by lines alone
         assert {r.kept for r in out if r.source == "copies"} == {False} or all(r.n_line_chars == 0 for r in out if r.source == "copies")
