@@ -4,7 +4,8 @@ Every stage but the last returns the columns of ``documents``; the last adds
 ``n_tokens`` and ``token_ids``. Stages are written as Parquet to the shared
 folder and read again, so a lost executor costs part of one stage.
 
-- quality_rules drops documents that the rules reject.
+- quality_rules removes lines that too many documents of a host hold and drops
+  documents that the rules reject.
 - line_dedup drops lines that ten or more documents share, where copies, by the
   links of the next stage, count as one. Lines that only copies share are left
   for that stage, which else would find groups of copies empty.
@@ -13,11 +14,19 @@ folder and read again, so a lost executor costs part of one stage.
   or if their sets of five-word shingles have a similarity of 0.8 or more.
 - decontaminate drops documents of which a twentieth is benchmark text.
 - byte_bpe encodes what is left.
+
+Defined results: a null text is rejected by the first stage; so is an empty one;
+rows with a null id, host or language stay if their text does; of equal rows one
+stays; of a group the least id stays, null ids last, then a hash of the text;
+texts of any length go through whole; an empty table gives an empty one; columns
+of ``documents`` beyond text pass through all stages, whatever their names, but
+for token_ids and n_tokens, which the last stage replaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stopgrid.llm import byte_bpe as bpe
 from stopgrid.llm import decontaminate as benchmark
@@ -30,21 +39,36 @@ from stopgrid.plans.storage import written
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator makes, and the name of each column: none is lost to an operator's column of its name."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _back(docs: DataFrame, names: dict[str, str], **instead: str) -> DataFrame:
+    return docs.select(*[F.col(instead.get(c, n)).alias(c) for c, n in names.items()])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.rule_verdicts(docs).where("kept").select(*docs.columns)
+    own, names = _aside(docs)
+    return _back(rules.rule_verdicts(own, names["source"], names["text"]).where("kept"), names, text="kept_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs, groups=simhash.text_groups(docs)).select(*docs.columns)
+    own, names = _aside(docs)
+    groups = simhash.text_groups(own, names["doc_id"], names["text"])
+    return _back(lines.dedup_lines(own, names["text"], groups=groups), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs).select(*docs.columns)
+    own, names = _aside(docs)
+    return _back(simhash.keep_one(own, names["doc_id"], names["text"]), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return benchmark.find_contamination(docs, items).where(~benchmark.contaminated()).select(*docs.columns)
+    own, names = _aside(docs)
+    return _back(benchmark.find_contamination(own, items, names["text"]).where(~benchmark.contaminated()), names)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
