@@ -8,15 +8,11 @@ from stopgrid import params as P
 from stopgrid import views as V
 from stopgrid.catalog import query
 from stopgrid.catalog.relational import _LG, _PTS, _D, _pts, _sql
-from stopgrid.functions import score
 from stopgrid.operators import ranks as R
 from stopgrid.operators import sequences as S
 from stopgrid.operators import spatial as X
 from stopgrid.operators.components import connected_components
-from stopgrid.plans import policies as Q
 from stopgrid.plans import routing as T
-from stopgrid.plans import simulation as M
-from stopgrid.plans.storage import written
 
 _CC = """lab(id, c) as (select id, id from nodes union select e.b, lab.c from lab join e on e.a = lab.id)"""
 
@@ -130,9 +126,9 @@ def sssp_allowed(spark, d):
     return _run(spark, d, rows=[(0, 0, 0)], allowed=ok)
 
 
-@query(_sp(f"{RIDE.format(scn='0', wait='5.0 * case when a.line in (0, 1004) then 0.5 else 1 end', src='', where='')} union all {_FOOT}", _O2, 60))
+@query(_sp(f"{RIDE.format(scn='0', wait='5.0 * case when a.line in (0, 1005) then 0.5 else 1 end', src='', where='')} union all {_FOOT}", _O2, 60))
 def sssp_wait_scale(spark, d):
-    return _run(spark, d, scale=spark.createDataFrame([(0, 0, 0.5), (0, 1004, 0.5)], "scn bigint, line bigint, scale double"))
+    return _run(spark, d, scale=spark.createDataFrame([(0, 0, 0.5), (0, 1005, 0.5)], "scn bigint, line bigint, scale double"))
 
 
 @query(_sp(f"{_PLAIN} union all {_FOOT} union all select 0, 0, 79, 4.0 union all select 0, 79, 0, 4.0", _O2, 60))
@@ -159,266 +155,6 @@ def reach_dest(spark, d):
     return T.reach(t, V.f2_stop(spark, d), 25.0).select("origin", F.col("reached").cast("long").alias("reached"))
 
 
-@query()
-def path_legs(spark, d):
-    ps, w = net(spark, d), V.f2_walk(spark, d)
-    t = T.shortest_times(ps, w, T.Scenarios(origins(spark, [(0, 0, 0)])))
-    return T.path_legs(ps, w, t, spark.createDataFrame([(0, 0, 47), (0, 0, 88)], "scn bigint, origin bigint, target bigint"))
-
-
-@query(_sp(f"{_PLAIN} union all {_FOOT}", "select distinct 0 scn, g origin, g, 0 t0 from f2_ps where g % 20 = 0", 600, "select origin f, g t, round(m, 4) m from r where g % 13 = 1"))
-def journey(spark, d):
-    g = V.f2_stop(spark, d).select("g")
-    trips = g.where("g % 20 = 0").select(F.lit(0).cast("long").alias("scn"), F.col("g").alias("f")).crossJoin(F.broadcast(g.where("g % 13 = 1").select(F.col("g").alias("t"))))  # few journeys asked for
-    return M.journey(net(spark, d), V.f2_walk(spark, d), trips).select("f", "t", F.round("m", 4).alias("m"))
-
-
-@query()
-def journey_resilience(spark, d):
-    return M.journey_resilience(net(spark, d), V.f2_walk(spark, d), 0, 88)
-
-
-# ---------------------------------------------------------------- removals
-
-
-def _removal(spark, d):
-    return M.line_removal(net(spark, d), V.f2_walk(spark, d), V.f2_stop(spark, d))
-
-
-_ODP = """n as (select line, pat, max(pos) + 1 n, row_number() over (partition by line order by max(pos) desc, pat) r from f2_ps group by 1, 2), s as (select line, pat, list_sort(list_distinct([floor((n - 1) * x + 0.5)::bigint for x in [0, 0.25, 0.5, 0.75, 1]])) s from n where r <= 2),
-ij as (select line, pat, s[i] i, s[i + 1] j from s, range(1, 5) t(i) where i < len(s) union select line, pat, s[1], s[len(s) // 2 + 1] from s union select line, pat, s[len(s) // 2 + 1], s[len(s)] from s),
-od as (select ij.line, a.g f, b.g t, min(b.cum - a.cum + 5) ride from ij join f2_ps a on a.pat = ij.pat and a.pos = ij.i join f2_ps b on b.pat = ij.pat and b.pos = ij.j where i < j and a.g <> b.g group by 1, 2, 3)"""
-
-
-@query(_sql("select line, f, t, round(ride, 4) ride from od", "f2_ps", more=_ODP))
-def od_pairs(spark, d):
-    return M.od_pairs(net(spark, d)).select("line", "f", "t", F.round("ride", 4).alias("ride"))
-
-
-_REMOVED = RIDE.format(scn="l.scn", wait="5.0", src="", where="join (select distinct line scn from f2_ps) l on a.line <> l.scn") + " union all select l.scn, a, b, minutes from f2_walk, (select distinct line scn from f2_ps) l union all " + RIDE.format(scn="-1", wait="5.0", src="", where="") + " union all " + WALK.format(scn="-1", src="", where="")
-
-
-@query(_sp(_REMOVED, "select distinct line scn, f origin, f g, 0 t0 from od union all select distinct -1, f, f, 0 from od", 120, """select od.line, round(avg(case when a.m is null or a.m > 2 * ride + 10 + 1e-9 then 1 else least(1, greatest(0, (a.m - least(coalesce(b.m, ride), ride)) / greatest(1, least(coalesce(b.m, ride), ride)))) end), 6) time_increase, count(*) filter (where a.m is null or a.m > 2 * ride + 10 + 1e-9) disconnected, count(*) n_pairs
-from od left join r a on a.scn = od.line and a.origin = od.f and a.g = od.t left join r b on b.scn = -1 and b.origin = od.f and b.g = od.t group by 1""", more=_ODP))
-def line_removal(spark, d):
-    return _removal(spark, d).select("line", F.round("time_increase", 6).alias("time_increase"), "disconnected", "n_pairs")
-
-
-@query(_sql("""select own.line, round(sum(s.pop * own.n / tot.n), 4) affected, round(case when sum(s.pop) > 0 then sum(case when not exists (select 1 from lg o where o.g = own.g and o.line <> own.line) and not exists (select 1 from f2_walk w join lg o on o.g = w.b where w.a = own.g and o.line <> own.line) then s.pop else 0 end) / sum(s.pop) else 0 end, 6) no_alternative
-from (select line, g, sum(trips) n from f2_ps group by 1, 2) own join (select g, sum(trips) n from f2_ps group by 1) tot on tot.g = own.g join f2_stop s on s.g = own.g group by 1""", "f2_ps", "f2_walk", "f2_stop", more=_LG))
-def line_removal_people(spark, d):
-    return _removal(spark, d).select("line", F.round("affected", 4).alias("affected"), F.round("no_alternative", 6).alias("no_alternative"))
-
-
-@query(V.with_views("""select line, round(avg(case when own / tot >= 0.9 then 1.0::double else 0 end), 6) dependency from (select line, least(g, nxt) a, greatest(g, nxt) b, sum(trips) own, sum(sum(trips)) over (partition by least(g, nxt), greatest(g, nxt)) tot from (select *, lead(g) over (partition by pat order by pos) nxt from f2_ps) where nxt is not null group by 1, 2, 3) group by 1""", "f2_ps"))
-def line_segment_dependency(spark, d):
-    return _removal(spark, d).select("line", F.round("dependency", 6).alias("dependency"))
-
-
-@query(_sql("""select x.g, round(least(1, coalesce(w.m / 12.0::double, 1)), 6) walk_penalty, round(count(*) filter (where not exists (select 1 from f2_walk k join lg y on y.g = k.b where k.a = x.g and y.line = x.line)) / count(*)::double, 6) line_loss, coalesce(w.alt, -1) alternative from lg x left join (select g, round(m, 6) m, alt from (select f2_walk.a g, minutes m, b alt, row_number() over (partition by a order by round(minutes, 6), b) r from f2_walk where b in (select g from lg)) where r = 1) w on w.g = x.g group by x.g, w.m, w.alt""", "f2_ps", "f2_walk", more=_LG))
-def stop_closure(spark, d):
-    c = M.stop_closure(net(spark, d), V.f2_walk(spark, d), V.f2_stop(spark, d))
-    return c.select("g", F.round("walk_penalty", 6).alias("walk_penalty"), F.round("line_loss", 6).alias("line_loss"), "alternative")
-
-
-@query()
-def stop_transfer_break(spark, d):
-    return M.stop_closure(net(spark, d), V.f2_walk(spark, d), V.f2_stop(spark, d)).select("g", "transfer_break")
-
-
-_SEG = "seg as (select row_number() over (order by a, b) scn, a, b from (select distinct g a, nxt b from (select *, lead(g) over (partition by pat order by pos) nxt from f2_ps where pat % 2 = 0) where nxt is not null and g % 9 = 2))"
-
-
-@query(_sp("select seg.scn, a.g f, b.g t, min(b.cum - a.cum + 5) m from f2_ps a join f2_ps b on a.pat = b.pat and a.pos < b.pos cross join seg where not exists (select 1 from f2_ps u join f2_ps v on u.pat = v.pat and v.pos = u.pos + 1 where u.pat = a.pat and u.pos >= a.pos and v.pos <= b.pos and least(u.g, v.g) = least(seg.a, seg.b) and greatest(u.g, v.g) = greatest(seg.a, seg.b)) group by 1, 2, 3", "select scn, a origin, a g, 0 t0 from seg", 68, "select seg.a, seg.b, round(coalesce(least(1, greatest(0, r.m - 8) / 30), 1), 6) detour from seg left join r on r.scn = seg.scn and r.g = seg.b", more=_SEG))
-def segment_removal(spark, d):
-    ps = net(spark, d)
-    e = S.edges(ps.where("pat % 2 = 0"), "pat").where("a % 9 = 2").select("a", "b").distinct()
-    seg = e.withColumn("scn", F.col("a") * 100_000 + F.col("b"))
-    return M.segment_removal(ps, None, seg).select("a", "b", F.round("detour", 6).alias("detour"))
-
-
-# ---------------------------------------------------------------- scores
-
-
-def _scored(spark, d):
-    r = written(_removal(spark, d).withColumn("l", F.log1p("affected")), "removal")
-    p = R.pct_rank(r, "l", "aff")
-    s = score.weighted_score([F.col("time_increase"), F.lit(0.0), F.col("no_alternative"), F.col("connectivity"), F.col("aff")], P.LINE_WEIGHTS)
-    return R.graded(written(p.withColumn("score", F.round(s, 6)), "scores"), "score")
-
-
-@query()
-def score_lines(spark, d):
-    return _scored(spark, d).select("line", "score", "grade")
-
-
-@query()
-def score_stops(spark, d):
-    c = M.stop_closure(net(spark, d), V.f2_walk(spark, d), V.f2_stop(spark, d))
-    n = net(spark, d).groupBy("g").agg(F.sum("trips").alias("trips"))
-    x = c.join(n, "g").join(V.f2_stop(spark, d).select("g", "pop"), "g").withColumn("demand", F.log1p(F.sqrt("pop") * F.col("trips")))
-    p = R.pct_rank(x, "demand", "dp")
-    s = score.weighted_score([F.col("walk_penalty"), F.lit(0.0), F.col("line_loss"), F.col("transfer_break"), F.col("dp")], P.STOP_WEIGHTS)
-    return R.graded(p.withColumn("score", F.round(s, 6)), "score").select("g", "score", "grade")
-
-
-@query()
-def score_segments(spark, d):
-    ps = net(spark, d)
-    e = S.edges(ps, "pat").select("line", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "trips")
-    risk = e.join(_scored(spark, d).select("line", "score"), "line").groupBy("a", "b").agg(F.sum("trips").alias("trips"), (F.max("score") / 100).alias("risk"))
-    seg = written(risk.withColumn("scn", F.col("a") * 100_000 + F.col("b")), "segments")
-    det = M.segment_removal(ps, V.f2_walk(spark, d), seg.select("scn", "a", "b"))
-    x = R.pct_rank(written(seg.join(det.select("scn", "detour"), "scn").withColumn("l", F.log1p("trips")), "detours"), "l", "vol")
-    s = score.weighted_score([F.col("detour"), F.col("vol"), F.col("risk")], P.SEGMENT_WEIGHTS)
-    return R.graded(x.withColumn("score", F.round(s, 6)), "score").select("a", "b", "score", "grade")
-
-
-@query(_sql("select greatest(x.g, y.g) - least(x.g, y.g) gap, max(x.line) line, count(*) n from lg x join lg y on x.line = y.line and x.g < y.g group by 1", "f2_ps", more=_LG))
-def segment_dedupe_by_grade(spark, d):
-    lg = V.f2_ps(spark, d).select("line", "g").distinct()
-    p = lg.join(lg.withColumnRenamed("g", "h"), "line").where("g < h")
-    return p.groupBy((F.col("h") - F.col("g")).alias("gap")).agg(F.max("line").alias("line"), F.count("*").alias("n"))
-
-
-@query("select c_nationkey % 5 cx, c_custkey % 3 cy, c_custkey id from customer qualify row_number() over (partition by c_nationkey % 5, c_custkey % 3 order by c_acctbal desc, c_custkey desc) = 1")
-def lod_cell_max(spark, d):
-    c = V.read(spark, d, "customer")
-    return c.groupBy((F.col("c_nationkey") % 5).alias("cx"), (F.col("c_custkey") % 3).alias("cy")).agg(F.max(F.struct("c_acctbal", "c_custkey")).alias("m")).select("cx", "cy", F.col("m.c_custkey").alias("id"))
-
-
-@query(V.with_views("select g from f2_stop order by round(sqrt(power((lon - 127.0131) * 111320.0 * cos(radians(36.2)), 2) + power((lat - 36.0107) * 111320.0, 2)), 6), g limit 5", "f2_stop"))
-def features_near_point(spark, d):
-    from stopgrid.functions.geo import local_distance
-
-    m = F.round(local_distance(F.col("lon"), F.col("lat"), F.lit(127.0131), F.lit(36.0107)), 6)
-    return V.f2_stop(spark, d).withColumn("m", m).orderBy("m", "g").limit(5).select("g")
-
-
-@query(V.with_views("select a.pat, a.pos p1, b.pos p2 from f2_ps a join f2_ps b on a.pat = b.pat and a.pos < b.pos where a.g = 2 and b.g = 8 order by a.pat limit 1", "f2_ps"))
-def od_pair_path(spark, d):
-    ps = V.f2_ps(spark, d)
-    a, b = ps.where("g = 2").select("pat", F.col("pos").alias("p1")), ps.where("g = 8").select("pat", F.col("pos").alias("p2"))
-    return a.join(b, "pat").where("p1 < p2").orderBy("pat").limit(1)
-
-
-@query("select o_orderkey, round(inc, 6) inc from (select o_orderkey, case when o_orderkey % 13 = 0 then null else (o_custkey % 50) / 20.0::double - 0.6::double end inc from orders) where inc is null or inc > 0.3")
-def affected_pairs_filter(spark, d):
-    o = V.read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, (F.col("o_custkey") % 50) / 20.0 - 0.6).alias("inc"))
-    return o.where("inc is null or inc > 0.3").select("o_orderkey", F.round("inc", 6).alias("inc")).sortWithinPartitions("inc")
-
-
-@query("select o_custkey from orders where o_custkey between 200 and 260 and o_orderkey between 100 and 9000 group by 1")
-def cell_index_range_query(spark, d):
-    return V.read(spark, d, "orders").where(F.col("o_custkey").between(200, 260) & F.col("o_orderkey").between(100, 9000)).select("o_custkey").distinct()
-
-
-# ---------------------------------------------------------------- policies
-
-
-@query(_sql("select distinct x.line, y.line other from lg x join lg y on y.line <> x.line and (y.g = x.g or exists (select 1 from f2_walk w where w.a = x.g and w.b = y.g))", "f2_ps", "f2_walk", more=_LG))
-def policy_frequency(spark, d):
-    return Q.touched_lines(V.f2_ps(spark, d), V.f2_walk(spark, d))
-
-
-def _links_sql(km, speed, wait):
-    h = "2 * 6371000.0 * asin(sqrt(power(sin(radians(s2.lat - s1.lat) / 2), 2) + cos(radians(s1.lat)) * cos(radians(s2.lat)) * power(sin(radians(s2.lon - s1.lon) / 2), 2))) / 1000"
-    return _sql(f"""select line, g, "to", km, round(km * 1.3 / {speed} * 60 + {wait}, 5) as mins from (select t.line, t.g, y.g "to", round({h}, 6) km, row_number() over (partition by t.line, t.g order by round({h}, 6), y.g) r from (select line, g, row_number() over (partition by line order by g) r from lg where line < 1000) t join f2_stop s1 on s1.g = t.g join lg y on y.line <> t.line and y.g <> t.g join f2_stop s2 on s2.g = y.g where t.r <= 30 and round({h}, 6) < {km}) where r = 1""", "f2_ps", "f2_stop", more=_LG)
-
-
-def _links(spark, d, km, kind, wait):
-    ps = V.f2_ps(spark, d)
-    out = Q.links(ps.where("line < 1000").select("line", "g").distinct(), ps, V.f2_stop(spark, d), km, kind, wait)
-    return out.select("line", "g", "to", "km", F.round("minutes", 5).alias("mins"))
-
-
-@query(_links_sql(3.0, 25, 10.0))
-def policy_drt(spark, d):
-    return _links(spark, d, 3.0, "drt", 10.0)
-
-
-@query(_links_sql(0.4, 20, 5.0))
-def policy_extension(spark, d):
-    return _links(spark, d, 0.4, "extension", 5.0)
-
-
-@query("with l as (select c_nationkey line, c_acctbal km from customer where c_acctbal > 0) select line, count(*) links, round(sum(km), 4) link_km, round(max(km), 4) link_max from l group by 1")
-def link_summary(spark, d):
-    l = V.read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("line"), F.col("c_acctbal").alias("km"), F.col("c_acctbal").alias("minutes"))
-    return Q.link_summary(l).select("line", "links", F.round("link_km", 4).alias("link_km"), F.round("link_max_min", 4).alias("link_max"))
-
-
-@query()
-def policy_combo(spark, d):
-    """Removal of each row's line with links and a higher frequency: times of its end-to-end pair."""
-    ps, w = net(spark, d), V.f2_walk(spark, d)
-    lines = ps.where("line < 4").select("line").distinct()
-    links = Q.both_ways(Q.links(ps.where("line < 4").select("line", "g").distinct(), ps, V.f2_stop(spark, d), 3.0, "drt", 10.0))
-    o = ps.where("line < 4 and pos = 0 and pat % 2 = 0").select(F.col("line").alias("scn"), F.col("g").alias("origin"), "g", F.lit(0.0).alias("t0"), F.lit(120.0).alias("lim"))
-    return _out(T.shortest_times(ps, w, T.Scenarios(o, disabled=lines.select(F.col("line").alias("scn"), "line"), scale=Q.frequency_scale(Q.touched_lines(ps, w), 2.0), links=links)))
-
-
-@query(_sp(f"{RIDE.format(scn='0', wait='5.0', src='', where='and a.g <> 5 and b.g <> 5')} union all {WALK.format(scn='0', src='', where='where a <> 5 and b <> 5')} union all select 0, 5, b, minutes + 2 from f2_walk where a = 5", "select 0 scn, 5 origin, b g, minutes + 2 t0 from f2_walk where a = 5", 60))
-def policy_temp_stop(spark, d):
-    """A closed stop with a temporary one two minutes away: its riders start from the walking neighbours."""
-    w = V.f2_walk(spark, d)
-    o = w.where("a = 5").select(F.lit(0).cast("long").alias("scn"), F.lit(5).cast("long").alias("origin"), F.col("b").alias("g"), (F.col("minutes") + 2).alias("t0"), F.lit(60.0).alias("lim"))
-    return _out(T.shortest_times(net(spark, d), w, T.Scenarios(o, closed=spark.createDataFrame([(0, 5)], "scn bigint, g bigint"))))
-
-
-def _items(spark, d):
-    o = V.read(spark, d, "orders").where("o_custkey < 300")
-    return o.select(F.col("o_custkey").alias("line"), F.col("o_orderkey").alias("item"), F.round(F.col("o_totalprice") / 1000, 3).alias("benefit"), (1.0 + F.col("o_orderkey") % 37).alias("cost"))
-
-
-@query()
-def greedy_budget(spark, d):
-    return R.greedy_budget(_items(spark, d), P.BUDGETS)
-
-
-@query()
-def agg_portfolio(spark, d):
-    return Q.portfolio(R.greedy_budget(_items(spark, d), P.BUDGETS))
-
-
-@query()
-def agg_capture(spark, d):
-    items = _items(spark, d)
-    return Q.capture(R.greedy_budget(items.where("item % 5 < 2"), P.BUDGETS), R.greedy_budget(items, P.BUDGETS))
-
-
-@query()
-def topk_portfolio_items(spark, d):
-    return R.top_per(R.greedy_budget(_items(spark, d), P.BUDGETS).withColumn("ratio", F.col("benefit") / F.col("cost")), ["budget"], [F.desc("ratio"), "item"], 8)
-
-
-@query()
-def portfolio_item_index(spark, d):
-    c = R.greedy_budget(_items(spark, d), P.BUDGETS).select("item", (F.col("benefit") / F.col("cost")).alias("ratio")).distinct()
-    return R.top_per(c.withColumn("one", F.lit(1)), ["one"], [F.desc("ratio"), "item"], 10_000).drop("one")
-
-
-@query("select item from (select o_orderkey item, row_number() over (order by o_totalprice / (1 + o_orderkey % 37) desc, o_orderkey) r, count(*) over () n from orders where o_orderkey % 10 > 0 and o_totalprice > 50) where r <= n // 10")
-def topk_shortlist(spark, d):
-    o = V.read(spark, d, "orders").where("o_orderkey % 10 > 0 and o_totalprice > 50").select(F.col("o_orderkey").alias("item"), (F.col("o_totalprice") / (1 + F.col("o_orderkey") % 37)).alias("ratio"))
-    return o.orderBy(F.desc("ratio"), "item").limit(o.count() // 10).select("item")
-
-
-@query(_sql("select x.line, round(sum(s.pop), 4) pop from lg x join f2_stop s on s.g = x.g where x.g % 4 = 0 group by 1", "f2_ps", "f2_stop", more=_LG))
-def stranded_population(spark, d):
-    lg = V.f2_ps(spark, d).select("line", "g").distinct().where("g % 4 = 0")
-    return lg.join(V.f2_stop(spark, d).select("g", "pop"), "g").groupBy("line").agg(F.round(F.sum("pop"), 4).alias("pop"))
-
-
-@query(_sql("select line, round(avg(m), 4) km from (select od.line, sqrt(power((a.lon - b.lon) * 111320.0 * cos(radians(36.2)), 2) + power((a.lat - b.lat) * 111320.0, 2)) / 1000 m from od join f2_stop a on a.g = od.f join f2_stop b on b.g = od.t) group by 1", "f2_ps", "f2_stop", more=_ODP))
-def sample_trip_km(spark, d):
-    from stopgrid.functions.geo import local_distance
-
-    s = V.f2_stop(spark, d)
-    j = M.od_pairs(net(spark, d)).join(s.select(F.col("g").alias("f"), "lon", "lat"), "f").join(s.select(F.col("g").alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y")), "t")
-    return j.groupBy("line").agg(F.round(F.avg(local_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) / 1000), 4).alias("km"))
-
-
 # ---------------------------------------------------------------- sinks
 
 

@@ -215,8 +215,10 @@ combo as (select cast(freq as double) freq, cast(kind as int) as kind, cast(km a
 
 
 def combos(spark):
-    spatial = [(0, 0.0, 0.0), *[(1, k, w) for k in P.DRT_KM for w in P.DRT_WAIT], *[(2, k, 0.0) for k in P.EXTENSION_KM]]
-    return spark.createDataFrame([(float(f), *s) for f in (0.0, *P.FREQUENCIES) for s in spatial if f or s[0]], "freq double, kind int, km double, wait double")
+    from stopgrid.plans.policies import CANDIDATE
+    from stopgrid.plans.policies import combos as every
+
+    return spark.createDataFrame(every(), CANDIDATE)
 
 
 @query(f"with {_COMBOS} select freq, kind, km, wait, (case kind when 1 then 'DRT ' || cast(cast(km as int) as varchar) || ' km ' || cast(cast(wait as int) as varchar) || ' min' when 2 then 'extension ' || cast(cast(km as int) as varchar) || ' km' else '' end) || (case when kind > 0 and freq > 0 then ' + ' else '' end) || (case when freq > 0 then 'frequency x' || cast(cast(freq * 10 as int) as varchar) else '' end) as label from combo")

@@ -6,6 +6,7 @@ SPEED_KMH = (20.0, 33.0, 45.0, 65.0, 75.0, 45.0, 170.0, 450.0)
 DETOUR = (1.30, 1.10, 1.05, 1.25, 1.15, 1.25, 1.10, 1.00)
 DWELL_MIN = (0.4, 0.5, 5.0, 3.0, 1.5, 1.0, 2.0, 40.0)
 LONG_DISTANCE = (2, 3, 4, 5, 6, 7)
+FERRY = 2
 
 # Mode by standard and extended route type; any other is 0.
 ROUTE_TYPE_MODE = {
@@ -19,7 +20,13 @@ WAIT_CAP = 30.0
 WALK_KMH, WALK_DETOUR = 4.5, 1.25
 WALK_M, GROUP_M, STRANDED_M, FACILITY_M = 400.0, 100.0, 800.0, 500.0
 SAME_NAME_OVERLAP, ANY_NAME_JACCARD = 0.5, 0.95
-ACCESS_MIN = 60.0
+ACCESS_MIN, ACCESS_ORIGINS, ACCESS_LEAST_INCREASE = 60.0, 3, 0.05
+OD_LIMIT_FACTOR, OD_LIMIT_MORE = 2.0, 10.0
+WALK_FULL_MIN, HUB_LINES = 12.0, 30
+DIRECT_MIN, SEGMENT_MORE_MIN, DETOUR_FULL_MIN = 5.0, 60.0, 30.0
+JOURNEY_MIN, RESILIENCE_MIN = 600.0, 240.0
+SENIOR_REGION, ISOLATES, DELAYS = 40.0, 0.3, 0.2
+ISLAND_GROUPS, ISLAND_PEOPLE = 3_000, 150_000.0
 OD_FRACTIONS = (0.0, 0.25, 0.5, 0.75, 1.0)
 GRADE_QUANTILES = (0.5, 0.8, 0.95)
 GRADES = ("stable", "caution", "vulnerable", "very vulnerable")
@@ -29,10 +36,15 @@ SEGMENT_WEIGHTS = (0.45, 0.25, 0.30)
 
 # Policies and their costs.
 FREQUENCIES = (1.5, 2.0)
+POLICY_TARGETS, POLICY_REACH_MIN, POLICY_SLOWER, POLICY_DETOUR = 30, 120.0, 1.3, 1.3
+DRT_SPEED, EXTENSION_SPEED = 25.0, 20.0
+TRAIN_SHARE, SHORTLIST_SHARE, VALIDATION_SHARE, SHORTLIST_LEAST = 0.10, 0.10, 0.05, 0.05
 DRT_KM, DRT_WAIT, EXTENSION_KM = (3.0, 5.0, 8.0), (10.0, 15.0, 20.0), (2.0, 4.0)
 BUDGETS = (20, 50, 100, 200, 500)
 BUS_YEAR, DRT_YEAR = 287_796_660.0, 203_808_700.0
 BENEFIT_TIME_WEIGHT = 0.5
+# Carbon; shares of public transport by kind of region: capital, metropolitan, other.
+TRIPS_A_DAY, RETURN_SHARE, TRANSIT_SHARE, CARBON_DAYS = 0.788, 0.414, (0.393, 0.181, 0.142), 365
 
 # Geography.
 EARTH_M, DEGREE_M, LATITUDE = 6_371_000.0, 111_320.0, 36.2

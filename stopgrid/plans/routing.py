@@ -1,31 +1,37 @@
-"""Time-bounded shortest paths for many scenarios at once, by rounds of relaxation.
-
-A label is the least time found for (scn, origin, g). A round takes the labels
-improved by the last one: each boards every pattern at its group, rides on to
-all later groups (one running minimum along a pattern gives all of them), and
-walks. All scenarios and origins share a round, so the rounds are few however
-many scenarios there are. A time beyond the limit is unreachable.
-
-Rounds are written to the shared folder; a lost executor costs one round.
-
-Network tables: stops of patterns (line, pat, pos, g, cum, wait), walks
-(a, b, minutes). Scenario tables, all optional but origins:
-origins (scn, origin, g, t0, lim), disabled (scn, line), closed (scn, g),
-blocked (scn, a, b), scale (scn, line, scale), links (scn, f, t, minutes),
-allowed (scn, g). Small ones are broadcast by the optimizer by their size.
+"""Time-bounded shortest paths for many scenarios at once.
+
+A label is the least time for (scn, origin, g); a time beyond the limit is
+unreachable. A network small enough to be broadcast is searched within tasks
+(``search``). For a larger one ``by_rounds`` relaxes by joins: a round takes the
+labels improved by the last one: each boards every pattern at its group, rides
+on to all later groups (one running minimum along a pattern gives all of them),
+and walks. All scenarios and origins share a round, so the rounds are few
+however many scenarios there are. What a round improves is written to the
+shared folder, so a lost executor costs one round.
+
+Network tables: stops of patterns (line, pat, pos, g, cum, wait, and mode where
+scopes are used), walks (a, b, minutes). Scenario tables, all optional but
+origins: origins (scn, origin, g, t0, lim), disabled (scn, line), closed
+(scn, g), blocked (scn, a, b), scale (scn, line, scale), links (scn, f, t,
+minutes), allowed (scn, g), scope (scn, scope: 0 all, 1 no long-distance lines,
+2 only groups that have such a line), targets (scn, origin, g, lim): the only
+groups asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopgrid.params import LONG_DISTANCE
+from stopgrid.plans import search
+from stopgrid.plans.search import EPS
 from stopgrid.plans.storage import written
 
-EPS = 1e-9
-
 
 @dataclass
 class Scenarios:
@@ -36,6 +42,43 @@ class Scenarios:
     scale: DataFrame | None = None
     links: DataFrame | None = None
     allowed: DataFrame | None = None
+    scope: DataFrame | None = None
+    targets: DataFrame | None = None
+
+
+@dataclass
+class Router:
+    """A network, prepared once for any number of searches."""
+
+    stops: DataFrame
+    walks: DataFrame | None
+    net: search.Network | None
+
+    @classmethod
+    def of(cls, stops: DataFrame, walks: DataFrame | None) -> Router:
+        return cls(stops, walks, search.Network.of(stops, walks) if search.fits(stops, walks) else None)
+
+    def times(self, s: Scenarios) -> DataFrame:
+        """(scn, origin, g, t): all groups reached, or the targets, if there are any."""
+        if self.net is not None:
+            return (search.all_times if s.targets is None else search.target_times)(self.net, s)
+        labels = by_rounds(self.stops, self.walks, s)
+        if s.targets is None:
+            return labels
+        got = labels.join(s.targets.groupBy("scn", "origin", "g").agg(F.max("lim").alias("lim")), ["scn", "origin", "g"])
+        return got.where(F.col("t") <= F.col("lim") + EPS).drop("lim")
+
+    def reached(self, s: Scenarios, weights: DataFrame) -> DataFrame:
+        """(scn, origin, reached): the sum of the weights (g, dest) within the limit."""
+        if self.net is not None:
+            return search.reached(self.net, s, weights)
+        got = by_rounds(self.stops, self.walks, s).join(weights.select("g", "dest"), "g").groupBy("scn", "origin").agg(F.sum("dest").alias("reached"))
+        return s.origins.select("scn", "origin").distinct().join(got, ["scn", "origin"], "left").fillna(0.0, ["reached"])
+
+
+def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios) -> DataFrame:
+    """(scn, origin, g, t)."""
+    return Router.of(stops, walks).times(s)
 
 
 def _runs(stops: DataFrame, s: Scenarios) -> DataFrame | None:
@@ -52,22 +95,30 @@ def _runs(stops: DataFrame, s: Scenarios) -> DataFrame | None:
     return written(own.select("scn", "pat", "pos", run.alias("run")), "runs")
 
 
-def _reachable(df: DataFrame, s: Scenarios) -> DataFrame:
+def _reachable(df: DataFrame, s: Scenarios, long_groups: DataFrame | None) -> DataFrame:
     """Without places where one can't be in the scenario."""
     if s.closed is not None:
         df = df.join(s.closed.select("scn", "g").distinct(), ["scn", "g"], "left_anti")
     if s.allowed is not None:
         df = df.join(s.allowed.select("scn", "g").distinct(), ["scn", "g"], "left_semi")
+    if s.scope is not None:
+        of = s.scope.select("scn", F.col("scope").alias("__scope")).distinct()
+        df = df.join(of, "scn", "left").join(long_groups, "g", "left").where(F.coalesce("__scope", F.lit(0)).cast("int").isin(0, 1) | F.col("__long").isNotNull()).drop("__scope", "__long")
     return df
 
 
-def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most_rounds: int = 60) -> DataFrame:
-    """(scn, origin, g, t)."""
+def by_rounds(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most_rounds: int = 2_000) -> DataFrame:
+    """(scn, origin, g, t), by rounds of joins."""
     key = ["scn", "origin", "g"]
     runs = _runs(stops, s)
     limits = s.origins.groupBy("scn", "origin").agg(F.max("lim").alias("lim"))
-    labels = written(_reachable(s.origins, s).where("t0 <= lim").groupBy(*key).agg(F.min("t0").alias("t")), "labels")
-    front = labels
+    long_groups = None
+    if s.scope is not None:
+        is_long = F.col("mode").isin(*LONG_DISTANCE)
+        long_groups = stops.where(is_long).select("g", F.lit(1).alias("__long")).distinct()
+        local = s.scope.where("scope = 1").select("scn", F.lit(1).alias("__local")).distinct()
+    front = written(_reachable(s.origins, s, long_groups).where("t0 <= lim").groupBy(*key).agg(F.min("t0").alias("t")), "labels")
+    found = [front]
     for _ in range(most_rounds):
         board = front.join(stops, "g")
         if runs is not None:
@@ -75,6 +126,8 @@ def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most
         board = board.withColumn("run", F.coalesce("run", F.lit(0)) if runs is not None else F.lit(0))
         if s.disabled is not None:
             board = board.join(s.disabled.select("scn", "line").distinct(), ["scn", "line"], "left_anti")
+        if s.scope is not None:
+            board = board.join(local, "scn", "left").where(F.col("__local").isNull() | ~is_long)
         wait = F.col("wait")
         if s.scale is not None:
             board = board.join(s.scale, ["scn", "line"], "left")
@@ -93,11 +146,15 @@ def shortest_times(stops: DataFrame, walks: DataFrame | None, s: Scenarios, most
             by_link = front.join(s.links.select("scn", F.col("f").alias("g"), F.col("t").alias("to"), "minutes"), ["scn", "g"])
             new = new.unionByName(by_link.select("scn", "origin", F.col("to").alias("g"), (F.col("t") + F.col("minutes")).alias("t")))
         new = new.join(limits, ["scn", "origin"]).where(F.col("t") <= F.col("lim") + EPS).drop("lim")
-        best = _reachable(new.groupBy(*key).agg(F.min("t").alias("n")), s)
-        both = written(labels.join(best, key, "full").select(*key, F.least("t", "n").alias("t"), (F.col("n").isNotNull() & (F.col("t").isNull() | (F.col("n") < F.col("t") - EPS))).alias("new")), "labels")
-        labels, front = both.select(*key, "t"), both.where("new").select(*key, "t")
+        best = _reachable(new.groupBy(*key).agg(F.min("t").alias("n")), s, long_groups)
+        # Only what is better is written; the labels are the least of all that was written.
+        labels = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("t").alias("t"))
+        front = written(best.join(labels, key, "left").where(F.col("t").isNull() | (F.col("n") < F.col("t") - EPS)).select(*key, F.col("n").alias("t")), "labels")
         if front.isEmpty():
             return labels
+        found.append(front)
+        if len(found) > 16:
+            found = [written(reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("t").alias("t")), "labels")]
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
@@ -106,14 +163,19 @@ def reach(times: DataFrame, dest: DataFrame, limit: float) -> DataFrame:
     return times.where(F.col("t") <= limit + EPS).join(dest, "g").groupBy("scn", "origin").agg(F.sum("dest").alias("reached"))
 
 
-def path_legs(stops: DataFrame, walks: DataFrame | None, times: DataFrame, targets: DataFrame, most_legs: int = 60) -> DataFrame:
-    """(scn, origin, target, step, f, t, kind, pat) backwards from each target: the leg that gives a group its time, rides before walks."""
+def path_legs(stops: DataFrame, walks: DataFrame | None, times: DataFrame, targets: DataFrame, most_legs: int = 2_000) -> DataFrame:
+    """(scn, origin, target, step, f, t, kind, pat) backwards from each target: the leg that gives a group its time, rides before walks.
+
+    More than ``most_legs`` legs are an error, not a cut.
+    """
     key = ["scn", "origin"]
     a, b = stops.select("pat", "line", F.col("pos").alias("p1"), F.col("g").alias("f"), F.col("cum").alias("c1"), "wait"), stops.select("pat", F.col("pos").alias("p2"), "g", F.col("cum").alias("c2"))
     at = targets.select(*key, F.col("target"), F.col("target").alias("g")).join(times, [*key, "g"])
     legs, step = None, 0
-    while step < most_legs:
+    while True:
         step += 1
+        if step > most_legs:
+            raise RuntimeError(f"a path of more than {most_legs} legs")
         ride = at.join(b, "g").join(a, "pat").where("p1 < p2").join(times.withColumnRenamed("g", "f").withColumnRenamed("t", "tf"), [*key, "f"])
         ride = ride.where(F.abs(F.col("tf") + F.col("wait") + F.col("c2") - F.col("c1") - F.col("t")) < 1e-6).select(*key, "target", "g", "f", F.lit("ride").alias("kind"), "pat", "line", F.col("tf"))
         move = ride

@@ -2,7 +2,7 @@
 
 - st: stop times; a trip is an order, a stop group one of eight supplier classes.
 - f2_*: a grid of suppliers, ten columns wide, with a line in both directions
-  along each row and column.
+  along each row and each column but three, where groups have one line only.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ SQL = {
     "st": """select s.trip, cast(row_number() over (partition by s.trip order by s.pos) - 1 as bigint) pos, s.g, o.o_custkey % 40 route, o.o_custkey % 8 as mode, c.c_mktsegment as name from st2 s join orders o on o.o_orderkey = s.trip join customer c on c.c_custkey = o.o_custkey where s.n >= 2""",
     "f2_stop": """select cast(s_suppkey as bigint) g, cast(127.0 as double) + (s_suppkey % 10) * cast(0.004 as double) lon, cast(36.0 as double) + cast(floor(s_suppkey / 10) as bigint) * cast(0.004 as double) lat, greatest(cast(0 as double), s_acctbal) pop, case when s_suppkey % 7 = 0 then 1 else 0 end dest, cast(s_nationkey as bigint) region, s_name as name from supplier""",
     "f2_s": """select cast(s_suppkey as bigint) g, cast(s_suppkey % 10 as bigint) x, cast(floor(s_suppkey / 10) as bigint) y, (select cast(floor(max(s_suppkey) / 10) as bigint) from supplier) my from supplier""",
-    "f2_all": """select y line, y * 2 pat, x pos, g from f2_s union all select y, y * 2 + 1, 9 - x, g from f2_s union all select 1000 + x, (1000 + x) * 2, y, g from f2_s union all select 1000 + x, (1000 + x) * 2 + 1, my - y, g from f2_s""",
+    "f2_all": """select y line, y * 2 pat, x pos, g from f2_s union all select y, y * 2 + 1, 9 - x, g from f2_s union all select 1000 + x, (1000 + x) * 2, y, g from f2_s where x not between 2 and 4 union all select 1000 + x, (1000 + x) * 2 + 1, my - y, g from f2_s where x not between 2 and 4""",
     "f2_ps": """select line, pat, pos, g, pos * cast(3.0 as double) cum, cast(case when line = 1000 then 2 when line >= 1000 then 1 else 0 end as bigint) as mode, cast(5 + line % 30 as double) trips from f2_all where pat in (select pat from f2_all group by pat having count(*) >= 2)""",
     "f2_walk": """select a.g a, b.g b, sqrt(power((a.lon - b.lon) * 111320.0 * cos(radians(36.2)), 2) + power((a.lat - b.lat) * 111320.0, 2)) * 1.25 / 75.0 as minutes from f2_stop a join f2_stop b on a.g <> b.g and sqrt(power((a.lon - b.lon) * 111320.0 * cos(radians(36.2)), 2) + power((a.lat - b.lat) * 111320.0, 2)) <= 400""",
 }
+SQL["f2_trip"] = """select distinct cast(c_custkey % n as bigint) f, cast((c_custkey * 7 + 3) % n as bigint) t from customer, (select max(s_suppkey) + 1 n from supplier) where c_custkey % n <> (c_custkey * 7 + 3) % n"""
 NEEDS = {"st1": ["st0"], "st2": ["st1"], "st": ["st2"], "f2_all": ["f2_s"], "f2_ps": ["f2_all"], "f2_walk": ["f2_stop"]}
 
 
@@ -81,6 +82,7 @@ def f2_ps(spark: SparkSession, d: str) -> DataFrame:
     col = lambda line, pat, pos: F.struct(line.alias("line"), pat.alias("pat"), pos.alias("pos"))
     x, y, my = F.col("x"), F.col("y"), F.col("my")
     ways = F.array(col(y, y * 2, x), col(y, y * 2 + 1, 9 - x), col(1000 + x, (1000 + x) * 2, y), col(1000 + x, (1000 + x) * 2 + 1, my - y))
+    ways = F.filter(ways, lambda w: ~w["line"].between(1002, 1004))
     p = s.select("g", F.explode(ways).alias("p")).select("p.line", "p.pat", "p.pos", "g")
     p = p.withColumn("__n", F.count("*").over(Window.partitionBy("pat"))).where("__n >= 2").drop("__n")
     mode = F.when(F.col("line") == 1000, 2).when(F.col("line") >= 1000, 1).otherwise(0).cast("long")
@@ -94,3 +96,31 @@ def f2_walk(spark: SparkSession, d: str, metres: float = 400.0) -> DataFrame:
 
     s = f2_stop(spark, d).select("g", "lon", "lat")
     return within(s, s, metres).where("a_g <> b_g").select(F.col("a_g").alias("a"), F.col("b_g").alias("b"), walk_minutes(F.col("dist")).alias("minutes"))
+
+
+def f2_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(f, t): the journeys that customers ask for."""
+    n = F.broadcast(read(spark, d, "supplier").agg((F.max("s_suppkey") + 1).alias("n")))  # one row
+    k = F.col("c_custkey").cast("long")
+    c = read(spark, d, "customer").crossJoin(n).select((k % F.col("n")).alias("f"), ((k * 7 + 3) % F.col("n")).alias("t"))
+    return c.where("f <> t").distinct()
+
+
+def f2_net(spark: SparkSession, d: str):
+    """The grid of suppliers as a network."""
+    from stopgrid.plans.simulation import Net
+
+    return Net(f2_ps(spark, d).withColumn("wait", F.lit(WAIT)), f2_walk(spark, d), f2_stop(spark, d))
+
+
+def once(make):
+    """A function (spark, d) whose result, tables in the shared folder, is made once for each session and folder."""
+    kept = {}
+
+    def get(spark: SparkSession, d: str):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in kept:
+            kept[key] = make(spark, d)
+        return kept[key]
+
+    return get
