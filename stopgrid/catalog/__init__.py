@@ -19,4 +19,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from stopgrid.catalog import scalars, relational, graph, removals, policies, models  # noqa: E402,F401,I001
+from stopgrid.catalog import scalars, relational, graph, removals, policies, building, models, files  # noqa: E402,F401,I001

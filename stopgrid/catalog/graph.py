@@ -14,40 +14,6 @@ from stopgrid.operators import spatial as X
 from stopgrid.operators.components import connected_components
 from stopgrid.plans import routing as T
 
-_CC = """lab(id, c) as (select id, id from nodes union select e.b, lab.c from lab join e on e.a = lab.id)"""
-
-
-def _cc_sql(nodes, edges, *views, more=""):
-    parts = V.with_views("", *views).replace("with ", "with recursive ", 1) if views else "with recursive "
-    sep = ", " if views else ""
-    return parts.rstrip() + (sep or " ") + (more + ", " if more else "") + f"nodes as ({nodes}), e as ({edges}), {_CC} select id, min(c) component from lab group by id"
-
-
-def _all_nodes(nodes, edges):
-    cc = connected_components(edges).select(F.col("node").alias("id"), "component")
-    return nodes.join(cc, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-@query(_cc_sql("select id from pts where id < 400", f"select a.id a, b.id b from pts a join pts b on a.id <> b.id and a.name = b.name and a.id < 400 and b.id < 400 and {_D.format('a', 'b')} <= 100", more=_PTS))
-def cc_stop_groups(spark, d):
-    p = _pts(spark, d).where("id < 400")
-    e = X.within(p, p, P.GROUP_M, extra=("name",)).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return _all_nodes(p.select("id"), e)
-
-
-@query(_cc_sql("select distinct o_custkey id from orders where o_custkey < 300", "select distinct x.o_custkey a, y.o_custkey b from orders x join orders y on x.o_orderkey % 1000 = y.o_orderkey % 1000 and x.o_custkey <> y.o_custkey and x.o_custkey < 300 and y.o_custkey < 300 and x.o_custkey % 3 = y.o_custkey % 3"))
-def cc_lines(spark, d):
-    o = V.read(spark, d, "orders").where("o_custkey < 300").select((F.col("o_orderkey") % 1000).alias("k"), F.col("o_custkey").alias("c"))
-    e = o.join(o.withColumnRenamed("c", "c2"), "k").where("c < c2 and c % 3 = c2 % 3").select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
-    return _all_nodes(o.select(F.col("c").alias("id")).distinct(), e)
-
-
-@query(_cc_sql("select g id from f2_stop", "select a.g a, b.g b from f2_ps a join f2_ps b on a.pat = b.pat and abs(a.pos - b.pos) = 1 where a.line >= 1000 and a.mode <> 2 and a.line % 2 = 0", "f2_stop", "f2_ps"))
-def cc_islands(spark, d):
-    ps = V.f2_ps(spark, d).where("line >= 1000 and mode <> 2 and line % 2 = 0")
-    e = S.edges(ps, "pat").select("a", "b")
-    return _all_nodes(V.f2_stop(spark, d).select(F.col("g").alias("id")), e)
-
 
 # ---------------------------------------------------------------- shortest paths
 
@@ -182,23 +148,6 @@ def sink_packed_columns(spark, d):
     return packed(V.read(spark, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": (10, 65535)})
 
 
-@query("select count(*) stops, 'supplier' as population, 'estimated' as time from supplier")
-def data_status(spark, d):
-    return V.read(spark, d, "supplier").agg(F.count("*").alias("stops"), F.lit("supplier").alias("population"), F.lit("estimated").alias("time"))
-
-
-@query("with t as (select c_nationkey code5, c_custkey % 7 dst from customer), m as (select code5, dst, row_number() over (partition by code5 order by count(*) desc, dst) r from t where dst < 5 group by 1, 2) select c_custkey, case when c_custkey % 7 < 5 then c_custkey % 7 else m.dst end as dst from customer left join m on m.code5 = c_nationkey and m.r = 1")
-def region_reassign_majority(spark, d):
-    c = V.read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("code5"), (F.col("c_custkey") % 7).alias("own"))
-    m = R.top_per(c.where("own < 5").groupBy("code5", "own").agg(F.count("*").alias("n")), ["code5"], [F.desc("n"), "own"], 1).select("code5", F.col("own").alias("best"))
-    return c.join(m, "code5", "left").select("c_custkey", F.when(F.col("own") < 5, F.col("own")).otherwise(F.col("best")).alias("dst"))
-
-
-@query("select o_custkey % 4 status, count(*) n from orders group by 1")
-def road_status_summary(spark, d):
-    return V.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).alias("status")).agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- roads
 
 
@@ -218,27 +167,6 @@ def _hops(spark, d):
     return e.join(p.select(F.col("g").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1")), "a").join(p.select(F.col("g").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), "b")
 
 
-@query(_sql(f"""select id, d as dist from (select p.id, min(round(sqrt(power(p.x - s.x1 - t * dx, 2) + power(p.y - s.y1 - t * dy, 2)), 3)) d from (select p.*, s.*, s.x2 - s.x1 dx, s.y2 - s.y1 dy, least(1, greatest(0, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / (power(s.x2 - s.x1, 2) + power(s.y2 - s.y1, 2)))) t
-from (select id, lon * 111320.0 * cos(radians(36.2)) x, lat * 111320.0 y from pts where id < 200) p, (select u.x x1, u.y y1, v.x x2, v.y y2 from hop join {_XY} u on u.g = a join {_XY} v on v.g = b) s) z(id, x, y, x1, y1, x2, y2, dx, dy, t), lateral (select z.id, z.x, z.y) p, lateral (select z.x1, z.y1) s group by 1) where d <= 300""", "f2_stop", "f2_ps", more=f"{_PTS}, {_HOPS}"))
-def join_snap_road(spark, d):
-    from stopgrid.functions.geo import local_x, local_y
-    from stopgrid.operators.roads import snap
-
-    p = _pts(spark, d).where("id < 200").select("id", local_x(F.col("lon")).alias("x"), local_y(F.col("lat")).alias("y"))
-    s = _hops(spark, d).withColumn("link", F.col("a") * 100_000 + F.col("b"))
-    return snap(p, s).select("id", "dist")
-
-
-@query(_sp(f"select 0 scn, a f, b t, sqrt(power(u.x - v.x, 2) + power(u.y - v.y, 2)) m from (select a, b from hop union select b, a from hop) join {_XY} u on u.g = a join {_XY} v on v.g = b", "select 0 scn, 0 origin, 0 g, 0 t0 union all select 0, 45, 45, 0", 2500, "select origin f, g t, round(m, 3) m from r where g % 3 = 0", more=f"f2_stop2 as ({V.SQL['f2_stop']}), {_HOPS}").replace(_XY, _XY.replace("from f2_stop", "from f2_stop2")))
-def road_sssp_geometry(spark, d):
-    from stopgrid.operators.roads import road_distances
-
-    h = _hops(spark, d).select("a", "b", F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)).alias("m"))
-    g = _plane(spark, d).where("g % 3 = 0").select(F.col("g").alias("t"))
-    pairs = g.crossJoin(F.broadcast(spark.createDataFrame([(0,), (45,)], "f bigint"))).withColumn("straight", F.lit(0.0))  # two origins
-    return road_distances(h, pairs, 2500.0).where("m is not null").select("f", "t", F.round("m", 3).alias("m"))
-
-
 @query()
 def polyline_simplify(spark, d):
     from stopgrid.operators.roads import simplify
@@ -247,13 +175,6 @@ def polyline_simplify(spark, d):
     return simplify(p.select(F.col("pat").alias("id"), F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))).select("id", F.size("xs").alias("n"))
 
 
-@query("select n_regionkey region, count(*) parts, string_agg(n_nationkey::varchar, ',' order by n_nationkey) members from nation group by 1")
-def dissolve_polygons(spark, d):
-    """The members of each larger area; their rings stay a collection, as no geometry library joins them."""
-    n = V.read(spark, d, "nation")
-    return n.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda x: x.cast("string")), ",").alias("members"))
-
-
 @query(V.with_views("select g, sum(trips) trips from f2_ps group by 1", "f2_ps"))
 def group_trips(spark, d):
     return V.f2_ps(spark, d).groupBy("g").agg(F.sum("trips").alias("trips"))

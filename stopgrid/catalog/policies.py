@@ -63,7 +63,7 @@ def evaluated(spark, d):
     net, trips = V.f2_net(spark, d), lines(spark, d)
     weak = line_scores(spark, d).where("grade >= 2").select("line")
     got = Q.evaluate(net, Q.candidates(weak), removal(spark, d))
-    carbon = Q.sample_trip_km(net).select("line", F.col("km").alias("trip_km"), F.lit(P.TRIPS_A_DAY * P.RETURN_SHARE).alias("transit"), F.lit(0.4).alias("cars"), F.lit(0.17).alias("kg"), F.lit(0.19).alias("kg_all"))
+    carbon = Q.sample_trip_km(net).select("line", F.col("km").alias("trip_km"), F.lit(P.TRIPS_A_DAY / P.RETURN_SHARE * P.TRANSIT_SHARE[2]).alias("transit"), F.lit(0.4).alias("cars"), F.lit(0.17).alias("kg"), F.lit(0.19).alias("kg_all"))
     return written(Q.gains(got, Q.costs(got, Q.line_vehicles(net, trips)), line_scores(spark, d), carbon), "gains")
 
 

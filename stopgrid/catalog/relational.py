@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from stopgrid import params as P
 from stopgrid import views as V
 from stopgrid.catalog import query
-from stopgrid.catalog.scalars import components
 from stopgrid.functions import geo
 from stopgrid.operators import matching as M
 from stopgrid.operators import ranks as R
 from stopgrid.operators import sequences as S
 from stopgrid.operators import spatial as X
 
-SEQ = "seq as (select trip, route, list(g order by pos) stops from st group by trip, route), pat as (select route, stops, count(*) trips from seq group by 1, 2)"
-
 
 def _sql(body, *views, more=""):
     s = V.with_views("", *views)
@@ -60,87 +57,28 @@ def join_knn_other(spark, d):
     return X.nearest_other(V.f2_stop(spark, d).select("g", "lon", "lat")).select("g", F.round("dist", 3).alias("m"))
 
 
-@query(_sql(f"select g, count(*) n from (select g, row_number() over (partition by id order by m, g) r from (select p.id, s.g, {_D.format('p', 's')} m from pts p join f2_stop s on {_D.format('p', 's')} <= 500)) where r = 1 group by g", "f2_stop", more=_PTS))
-def join_facility_nearest_500m(spark, d):
-    return X.nearest(_pts(spark, d), V.f2_stop(spark, d), "id", P.FACILITY_M).groupBy(F.col("b_g").alias("g")).agg(F.count("*").alias("n"))
-
-
-@query(_sql(f"select p.id, n.g from pts p left join (select id, g from (select p.id, s.g, row_number() over (partition by p.id order by {_D.format('p', 's')}, s.g) r from pts p join f2_stop s on {_D.format('p', 's')} <= 800) where r = 1) n on n.id = p.id", "f2_stop", more=_PTS))
-def join_popgrid_nearest_800m(spark, d):
-    p = _pts(spark, d)
-    near = X.nearest(p, V.f2_stop(spark, d), "id", P.STRANDED_M).select(F.col("a_id").alias("id"), F.col("b_g").alias("g"))
-    return p.select("id").join(near, "id", "left")
-
-
 _AREAS = "areas as (select r_regionkey area, 127.0::double + r_regionkey * 0.008 x0, 127.008::double + r_regionkey * 0.008 x1 from region)"
 
 
-@query(_sql("select s.g, a.area from f2_stop s join areas a on s.lon + 0.001 > a.x0 and s.lon + 0.001 < a.x1 and s.lat + 0.0003 > 35.99 and s.lat + 0.0003 < 36.03", "f2_stop", more=_AREAS))
-def join_point_in_polygon(spark, d):
+def _areas(spark, d):
     x0 = 127.0 + F.col("r_regionkey") * 0.008
     corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
-    areas = V.read(spark, d, "region").select(F.col("r_regionkey").alias("area"), F.array(corner(x0, 35.99), corner(x0 + 0.008, 35.99), corner(x0 + 0.008, 36.03), corner(x0, 36.03)).alias("ring"))
-    s = V.f2_stop(spark, d).select("g", (F.col("lon") + 0.001).alias("lon"), (F.col("lat") + 0.0003).alias("lat"))
-    return X.locate(s, areas, 0.01).select("g", "area")
+    return V.read(spark, d, "region").select(F.col("r_regionkey").alias("area"), F.array(corner(x0, 35.99), corner(x0 + 0.008, 35.99), corner(x0 + 0.008, 36.03), corner(x0, 36.03)).alias("ring"))
 
 
 @query(_sql("select cast(floor((s.lon + 0.001 - 124.0) / 0.05) as bigint) cx, cast(floor((s.lat + 0.0003 - 33.0) / 0.05) as bigint) cy, count(*) n from f2_stop s join areas a on s.lon + 0.001 > a.x0 and s.lon + 0.001 < a.x1 and s.lat + 0.0003 > 35.99 and s.lat + 0.0003 < 36.03 group by 1, 2", "f2_stop", more=_AREAS))
 def reachable_land_check(spark, d):
     s = V.f2_stop(spark, d).select("g", (F.col("lon") + 0.001).alias("lon"), (F.col("lat") + 0.0003).alias("lat"))
-    j = join_point_in_polygon(spark, d).join(s, "g")
+    j = X.locate(s, _areas(spark, d), 0.01).where("area is not null")
     return j.groupBy(geo.grid_x(F.col("lon")).alias("cx"), geo.grid_y(F.col("lat")).alias("cy")).agg(F.count("*").alias("n"))
 
 
-_BOUND = "b as (select c_custkey ix, c_custkey % 400 code, 'S' || (c_custkey % 7)::varchar sido, 'G' || (c_custkey % 31)::varchar gu, 'D' || (c_custkey % 211)::varchar dong from customer where c_custkey < 400)"
-_POP = "p as (select s_suppkey pid, s_suppkey * 9 % 450 code, 'S' || ((s_suppkey * 9 % 450) % 7)::varchar sido, 'G' || ((s_suppkey * 9 % 450) % (31 - s_suppkey % 2))::varchar gu, 'D' || ((s_suppkey * 9 % 450 + s_suppkey % 3) % 211)::varchar dong from supplier where s_suppkey < 60)"
-
-
-@query(f"""with {_BOUND}, {_POP}, t1 as (select b.ix, p.pid from b join p on p.code = b.code),
-b2 as (select *, count(*) over (partition by gu, dong) n from b where ix not in (select ix from t1)), p2 as (select *, count(*) over (partition by gu, dong) n from p where pid not in (select pid from t1)),
-t2 as (select b2.ix, p2.pid from b2 join p2 using (gu, dong) where b2.n = 1 and p2.n = 1),
-b3 as (select *, count(*) over (partition by sido, dong) n from b where ix not in (select ix from t1 union select ix from t2)), p3 as (select *, count(*) over (partition by sido, dong) n from p where pid not in (select pid from t1 union select pid from t2)),
-t3 as (select b3.ix, p3.pid from b3 join p3 using (sido, dong) where b3.n = 1 and p3.n = 1)
-select b.ix, coalesce(t1.pid, t2.pid, t3.pid) pid, case when t1.pid is not null then 'code' when t2.pid is not null then 'name' when t3.pid is not null then 'sido' else 'none' end as tier from b left join t1 using (ix) left join t2 using (ix) left join t3 using (ix)""")
-def join_dong_cascade(spark, d):
-    n = lambda p, c, m: F.concat(F.lit(p), (c % m).cast("string"))
-    k = F.col("c_custkey")
-    b = V.read(spark, d, "customer").where("c_custkey < 400").select(k.alias("ix"), (k % 400).alias("code"), n("S", k, 7).alias("sido"), n("G", k, 31).alias("gu"), n("D", k, 211).alias("dong"))
-    s = F.col("s_suppkey")
-    c = s * 9 % 450
-    p = V.read(spark, d, "supplier").where("s_suppkey < 60").select(s.alias("pid"), c.alias("code"), n("S", c, 7).alias("sido"), n("G", c, 31 - s % 2).alias("gu"), n("D", c + s % 3, 211).alias("dong"))
-    return M.cascade(b, p, "ix", "pid", [("code", ["code"], False), ("name", ["gu", "dong"], True), ("sido", ["sido", "dong"], True)])
-
-
-_PE = "pe as (select distinct trip, least(g, nxt) a, greatest(g, nxt) b from (select trip, g, lead(g) over (partition by trip order by pos) nxt from st where route < 4 and trip % 5 = 0) where nxt is not null)"
-
-
-@query(_sql("""select x.trip t1, y.trip t2, count(*) common, round(count(*) / least(max(x.n), max(y.n))::double, 6) overlap, round(count(*) / (max(x.n) + max(y.n) - count(*))::double, 6) jaccard from (select *, count(*) over (partition by trip) n from pe join (select distinct trip, route from st) using (trip)) x join (select *, count(*) over (partition by trip) n from pe join (select distinct trip, route from st) using (trip)) y on x.route = y.route and x.a = y.a and x.b = y.b and x.trip < y.trip group by 1, 2 having count(*) >= 0.5 * least(max(x.n), max(y.n))""", "st", more=_PE))
-def join_same_key_overlap(spark, d):
-    st = V.st(spark, d).where("route < 4 and trip % 5 = 0")
-    e = S.undirected(S.edges(st, "trip"), ["trip", "route"])
-    return M.overlaps(e, "trip", "route", P.SAME_NAME_OVERLAP).select("t1", "t2", "common", F.round("overlap", 6).alias("overlap"), F.round("jaccard", 6).alias("jaccard"))
-
-
-@query(_sql("""select x.trip t1, y.trip t2, round(count(*) / (max(x.n) + max(y.n) - count(*))::double, 6) jaccard from (select *, count(*) over (partition by trip) n from pe) x join (select *, count(*) over (partition by trip) n from pe) y on x.a = y.a and x.b = y.b and x.trip < y.trip and x.trip % 7 = y.trip % 7 group by 1, 2 having count(*) / (max(x.n) + max(y.n) - count(*))::double >= 0.95""", "st", more=_PE))
-def edge_set_overlap(spark, d):
-    st = V.st(spark, d).where("route < 4 and trip % 5 = 0").withColumn("k", F.col("trip") % 7)
-    return M.overlaps(S.undirected(S.edges(st, "trip"), ["trip", "k"]), "trip", "k", 0.0).where(F.col("jaccard") >= P.ANY_NAME_JACCARD).select("t1", "t2", F.round("jaccard", 6).alias("jaccard"))
-
-
 @query(V.with_views(f"select a.g a, b.g b, round({_D.format('a', 'b')}, 3) m from f2_stop a join f2_stop b on a.g <> b.g and {_D.format('a', 'b')} <= 800", "f2_stop"))
 def join_groups_within_r(spark, d):
     s = V.f2_stop(spark, d).select("g", "lon", "lat")
     return X.within(s, s, P.STRANDED_M).where("a_g <> b_g").select(F.col("a_g").alias("a"), F.col("b_g").alias("b"), F.round("dist", 3).alias("m"))
 
 
-@query("select c.c_custkey, round(avg(o.o_totalprice), 4) score from customer c left join (select split_part(o_custkey::varchar || '#' || o_orderkey::varchar, '#', 1) k, o_totalprice from orders where o_orderkey % 3 = 0) o on o.k = c.c_custkey::varchar group by 1")
-def join_legacy_scores(spark, d):
-    o = V.read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.split_part(F.concat_ws("#", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")), F.lit("#"), F.lit(1)).alias("k"), "o_totalprice")
-    per = o.groupBy("k").agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
-    c = V.read(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"))
-    return c.join(per, "k", "left").select("c_custkey", "score")
-
-
 @query("""with b as (select regexp_replace('S' || (user_id % 50)::varchar || '(' || event_id::varchar || ')', '\\(\\d+\\)', '', 'g') base, sum(value) n from events group by 1), g as (select s_suppkey g, regexp_replace('S' || s_suppkey::varchar || '(중)', '\\(중\\)', '', 'g') base from supplier) select g.g, round(b.n, 3) boardings from g join b using (base) where b.n > 0""")
 def join_name_boardings(spark, d):
     b = agg_boardings_base(spark, d)
@@ -166,12 +104,6 @@ def shared_lines(spark, d):
     return R.top_per(M.co_located(V.f2_ps(spark, d).select("line", "g").distinct()), ["a"], [F.desc("n"), "b"], 8)
 
 
-@query(_sql("select distinct x.g a, y.g b, x.line from lg x join lg y on x.line = y.line where x.g = 0 and y.g % 10 = 5", "f2_ps", more=_LG))
-def lines_at_both_ends(spark, d):
-    lg = V.f2_ps(spark, d).select("line", "g").distinct()
-    return lg.where("g = 0").withColumnRenamed("g", "a").join(lg.where("g % 10 = 5").withColumnRenamed("g", "b"), "line").select("a", "b", "line")
-
-
 @query(_sql("select x.g, x.line from lg x where exists (select 1 from lg y where y.g = x.g and y.line <> x.line) or exists (select 1 from f2_walk w join lg y on y.g = w.b where w.a = x.g and y.line <> x.line)", "f2_ps", "f2_walk", more=_LG))
 def semi_other_service(spark, d):
     lg = V.f2_ps(spark, d).select("line", "g").distinct()
@@ -186,31 +118,6 @@ def anti_line_loss(spark, d):
     return lg.join(near, ["g", "line"], "left_anti").groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query(_sql("select x.g, count(*) broken from lg x join lg y on x.g = y.g and x.line < y.line where not exists (select 1 from lg p join lg q on p.g = q.g where p.line = x.line and q.line = y.line and p.g <> x.g) and not exists (select 1 from lg p join f2_walk w on w.a = p.g join lg q on q.g = w.b where p.line = x.line and q.line = y.line and p.g <> x.g and q.g <> x.g) group by x.g", "f2_ps", "f2_walk", more=_LG))
-def pair_meet_elsewhere(spark, d):
-    lg = V.f2_ps(spark, d).select("line", "g").distinct()
-    p, q = lg.select(F.col("line").alias("l1"), F.col("g").alias("g1")), lg.select(F.col("line").alias("l2"), F.col("g").alias("g2"))
-    w = V.f2_walk(spark, d).select(F.col("a").alias("g1"), F.col("b").alias("g2"))
-    same = p.join(q, F.col("g1") == F.col("g2"))
-    walk = p.join(w, "g1").join(q, "g2").select("l1", "g1", "l2", "g2")
-    meets = same.select("l1", "g1", "l2", "g2").unionByName(walk).where("l1 < l2")
-    rev = walk.where("l1 > l2").select(F.col("l2").alias("l1"), F.col("g2").alias("g1"), F.col("l1").alias("l2"), F.col("g1").alias("g2"))
-    m = meets.unionByName(rev).distinct()
-    pairs = same.where("l1 < l2").select("l1", "l2", F.col("g1").alias("g"))
-    else_ = pairs.join(m, ["l1", "l2"]).where("g1 <> g and g2 <> g").select("l1", "l2", "g").distinct()
-    return pairs.join(else_, ["l1", "l2", "g"], "left_anti").groupBy("g").agg(F.count("*").alias("broken"))
-
-
-@query(V.with_views(f"select g, alt, round(m, 3) m from (select a.g, b.g alt, {_D.format('a', 'b')} m, row_number() over (partition by a.g order by round({_D.format('a', 'b')}, 3), b.g) r from f2_stop a join f2_stop b on a.g <> b.g and ({_D.format('a', 'b')} <= 400 or ({_D.format('a', 'b')} <= 800 and a.g not in (select a from f2_walk))) where b.g in (select g from f2_ps where line < 1000)) where r = 1", "f2_stop", "f2_walk", "f2_ps"))
-def join_alternative_stop(spark, d):
-    s = V.f2_stop(spark, d).select("g", "lon", "lat")
-    pairs = X.within(s, s, P.STRANDED_M).where("a_g <> b_g").select(F.col("a_g").alias("g"), F.col("b_g").alias("alt"), F.col("dist").alias("m"))
-    has = F.max(F.when(F.col("m") <= P.WALK_M, 1).otherwise(0)).over(Window.partitionBy("g"))
-    served = V.f2_ps(spark, d).where("line < 1000").select(F.col("g").alias("alt")).distinct()
-    ok = pairs.withColumn("has", has).where((F.col("m") <= P.WALK_M) | (F.col("has") == 0)).join(served, "alt", "left_semi")
-    return R.top_per(ok.withColumn("m", F.round("m", 3)), ["g"], ["m", "alt"], 1).select("g", "alt", "m")
-
-
 _CELL = "cast(floor((lon - 124.0::double) / 0.05::double) as bigint)", "cast(floor((lat - 33.0::double) / 0.05::double) as bigint)"
 
 
@@ -220,48 +127,9 @@ def grid_full_outer(spark, d):
     return by(V.f2_stop(spark, d), 0.0, "stops").join(by(_pts(spark, d), 0.03, "points"), ["cx", "cy"], "full").fillna(0, ["stops", "points"])
 
 
-@query(_sql("select id, g from (select p.id, s.g, row_number() over (partition by p.id order by power(p.lon - s.lon, 2) + power(p.lat - s.lat, 2), s.g) r from pts p, f2_stop s where p.id % 50 = 0) where r = 1", "f2_stop", more=_PTS))
-def nearest_group_brute(spark, d):
-    p, s = _pts(spark, d).where("id % 50 = 0"), V.f2_stop(spark, d).select("g", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    dist = F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)
-    # A stated set of query points against all groups: one aggregate with partial minima.
-    return s.crossJoin(F.broadcast(p)).groupBy("id").agg(F.min(F.struct(dist.alias("d"), "g")).alias("m")).select("id", F.col("m.g").alias("g"))
-
-
 # ---------------------------------------------------------------- aggregates
 
 
-@query(_sql("select route, array_to_string(stops, ',') stops, trips from pat", "st", more=SEQ))
-def agg_patterns(spark, d):
-    p = S.patterns(V.st(spark, d))
-    return p.select("route", F.array_join(F.transform("stops", lambda x: x.cast("string")), ",").alias("stops"), "trips")
-
-
-@query(f"with {_PTS}, k as (select *, cast(floor(lon * 100) as bigint) cx, cast(floor(lat * 100) as bigint) cy from pts), m as (select cx, cy, name, row_number() over (partition by cx, cy order by count(*) desc, min(id)) r from k group by 1, 2, 3) select k.cx, k.cy, round(avg(lon), 6) lon, round(avg(lat), 6) lat, count(*) n, max(m.name) as name from k join m on m.cx = k.cx and m.cy = k.cy and m.r = 1 group by 1, 2")
-def agg_stop_groups(spark, d):
-    k = _pts(spark, d).withColumn("cx", F.floor(F.col("lon") * 100)).withColumn("cy", F.floor(F.col("lat") * 100))
-    modal = R.top_per(k.groupBy("cx", "cy", "name").agg(F.count("*").alias("c"), F.min("id").alias("i")), ["cx", "cy"], [F.desc("c"), "i"], 1).select("cx", "cy", "name")
-    return k.groupBy("cx", "cy").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count("*").alias("n")).join(modal, ["cx", "cy"])
-
-
-@query(V.with_views("select s.route, max(m.name) as name, count(distinct s.trip) trips, count(distinct s.g) groups, max(s.pos) + 1 longest from st s join (select route, name, row_number() over (partition by route order by count(distinct trip) desc, name) r from st group by 1, 2) m on m.route = s.route and m.r = 1 group by s.route", "st"))
-def agg_line(spark, d):
-    st = V.st(spark, d)
-    modal = R.top_per(st.groupBy("route", "name").agg(F.count_distinct("trip").alias("c")), ["route"], [F.desc("c"), "name"], 1).select("route", "name")
-    return st.groupBy("route").agg(F.count_distinct("trip").alias("trips"), F.count_distinct("g").alias("groups"), (F.max("pos") + 1).alias("longest")).join(modal, "route")
-
-
-@query(V.with_views("select route, a, b, count(*) visits, median_ from (select route, g a, nxt b from (select route, g, lead(g) over (partition by trip order by pos) nxt from st) where nxt is not null) join (select route r2, round(median(n), 3) median_ from (select route, g, nxt, count(*) n from (select route, g, lead(g) over (partition by trip order by pos) nxt from st) where nxt is not null group by 1, 2, 3) group by 1) on r2 = route group by 1, 2, 3, 5", "st"))
-def agg_edge_frequency(spark, d):
-    n = S.edges(V.st(spark, d), "trip").groupBy("route", "a", "b").agg(F.count("*").alias("visits"))
-    return n.join(n.groupBy("route").agg(F.round(F.median("visits"), 3).alias("median_")), "route")
-
-
-@query(V.with_views("select g, count(distinct route) n_lines, cast(bit_or(cast(1 << mode as bigint)) as bigint) modes from st group by g", "st"))
-def agg_group_service(spark, d):
-    return V.st(spark, d).groupBy("g").agg(F.count_distinct("route").alias("n_lines"), F.bit_or(F.expr("shiftleft(1L, cast(mode as int))")).alias("modes"))
-
-
 @query(V.with_views("select g, route, count(*) trips from st group by 1, 2", "st"))
 def agg_group_line_trips(spark, d):
     return V.st(spark, d).groupBy("g", "route").agg(F.count("*").alias("trips"))
@@ -272,64 +140,11 @@ def edge_trips(spark, d):
     return S.edges(V.st(spark, d), "trip").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("trips"))
 
 
-@query(_sql("select lg.g, sum(t.trips) trips from lg join (select line, max(trips) trips from f2_ps group by 1) t using (line) group by 1", "f2_ps", more=_LG))
-def agg_stop_trips_by_line(spark, d):
-    ps = V.f2_ps(spark, d)
-    return ps.select("line", "g").distinct().join(ps.groupBy("line").agg(F.max("trips").alias("trips")), "line").groupBy("g").agg(F.sum("trips").alias("trips"))
-
-
-@query(V.with_views("select s.g, round(p.pop / count(*) over (partition by s.region), 4) pop from f2_stop s join (select c_nationkey region, sum(greatest(0, c_acctbal)) pop from customer group by 1) p on p.region = s.region", "f2_stop"))
-def agg_population_share(spark, d):
-    pop = V.read(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("region")).agg(F.sum(F.greatest(F.lit(0.0), "c_acctbal")).alias("p"))
-    s = V.f2_stop(spark, d).join(pop, "region").withColumn("n", F.count("*").over(Window.partitionBy("region")))
-    return s.select("g", F.round(F.col("p") / F.col("n"), 4).alias("pop"))
-
-
-@query("with r as (select n_nationkey, n_regionkey from nation), a as (select c_nationkey k, count(*) n, sum(case when c_custkey % 5 = 0 then 1 else 0 end) s from customer where c_nationkey % 3 > 0 group by 1), b as (select n_regionkey q, sum(a.n) n, sum(a.s) s from a join r on r.n_nationkey = a.k group by 1) select n_nationkey, round(coalesce(100.0::double * a.s / a.n, 100.0::double * b.s / b.n), 6) senior, case when a.k is not null then 'nation' else 'region' end as source from r left join a on a.k = n_nationkey left join b on b.q = n_regionkey")
-def agg_coarse_senior(spark, d):
-    n = V.read(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    a = V.read(spark, d, "customer").where("c_nationkey % 3 > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.sum((F.col("c_custkey") % 5 == 0).cast("int")).alias("s"))
-    b = a.join(n, "n_nationkey").groupBy("n_regionkey").agg(F.sum("n").alias("bn"), F.sum("s").alias("bs"))
-    j = n.join(a, "n_nationkey", "left").join(b, "n_regionkey", "left")
-    return j.select("n_nationkey", F.round(F.coalesce(100.0 * F.col("s") / F.col("n"), 100.0 * F.col("bs") / F.col("bn")), 6).alias("senior"), F.when(F.col("n").isNotNull(), "nation").otherwise("region").alias("source"))
-
-
-@query("select count(*) n, count(*) filter (where p_type like '%BRASS') hospitals, count(*) filter (where p_type like 'PROMO%') pharmacies from part")
-def agg_facility_stats(spark, d):
-    return V.read(spark, d, "part").agg(F.count("*").alias("n"), F.count_if(F.col("p_type").endswith("BRASS")).alias("hospitals"), F.count_if(F.col("p_type").startswith("PROMO")).alias("pharmacies"))
-
-
 @query("select o_orderkey, cast((o_totalprice >= a)::int + (o_totalprice >= b)::int + (o_totalprice >= c)::int as int) grade from orders, (select quantile_cont(o_totalprice, 0.5) a, quantile_cont(o_totalprice, 0.8) b, quantile_cont(o_totalprice, 0.95) c from orders)")
 def agg_quantile_thresholds(spark, d):
     return R.graded(V.read(spark, d, "orders"), "o_totalprice").select("o_orderkey", F.col("grade").cast("int").alias("grade"))
 
 
-@query("select cast(i as int) i, round(q[i + 1], 6) q from (select quantile_cont(ln(1 + o_totalprice), [x / 100.0::double for x in range(0, 101)]) q from orders), range(0, 101) t(i)")
-def agg_quantile_table_101(spark, d):
-    q = V.read(spark, d, "orders").agg(F.percentile(F.log1p("o_totalprice"), F.array(*[F.lit(i / 100.0) for i in range(101)])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "q")).select("i", F.round("q", 6).alias("q"))
-
-
-@query("select round(median(l_quantity), 6) quantity, round(median(l_extendedprice), 6) price, round(median(l_discount), 6) discount from lineitem")
-def agg_feature_medians(spark, d):
-    return V.read(spark, d, "lineitem").agg(F.round(F.median("l_quantity"), 6).alias("quantity"), F.round(F.median("l_extendedprice"), 6).alias("price"), F.round(F.median("l_discount"), 6).alias("discount"))
-
-
-@query("with b as (select c_mktsegment seg, c_custkey % 6 as bin, count(*) share from customer group by 1, 2), u as (select seg, sum(share * (bin * 5 + 2.5::double)) / sum(share) usage from b group by 1), t as (select sum(share * (bin * 5 + 2.5::double)) / sum(share) usage from b) select seg, round(u.usage / t.usage, 6) relative from u, t")
-def agg_weighted_usage(spark, d):
-    b = V.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 6).alias("bin")).agg(F.count("*").alias("share"))
-    mean = F.sum(F.col("share") * (F.col("bin") * 5 + 2.5)) / F.sum("share")
-    return b.groupBy("seg").agg(mean.alias("u")).crossJoin(F.broadcast(b.agg(mean.alias("t")))).select("seg", F.round(F.col("u") / F.col("t"), 6).alias("relative"))
-
-
-@query("with c as (select n_regionkey r, sum(c_acctbal) cars from customer join nation on n_nationkey = c_nationkey group by 1), t as (select sum(cars) total from c) select r, round(case when r = 4 then total - (select sum(cars) from c where r <> 4) else cars end, 2) cars from c, t")
-def agg_carbon_inputs(spark, d):
-    n = V.read(spark, d, "nation")
-    c = V.read(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_regionkey").alias("r")).agg(F.sum("c_acctbal").alias("cars"))
-    t = c.agg(F.sum("cars").alias("total"), F.sum(F.when(F.col("r") != 4, F.col("cars"))).alias("known"))
-    return c.crossJoin(F.broadcast(t)).select("r", F.round(F.when(F.col("r") == 4, F.col("total") - F.col("known")).otherwise(F.col("cars")), 2).alias("cars"))
-
-
 @query("select o_custkey % 8 as mode, round(avg(o_totalprice), 4) score from orders group by 1")
 def agg_mode_mean(spark, d):
     return V.read(spark, d, "orders").groupBy((F.col("o_custkey") % 8).alias("mode")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
@@ -380,26 +195,12 @@ def win_running_min_board(spark, d):
     return p.select("pat", "pos", F.round(F.col("cum") + F.min("off").over(w), 4).alias("arrival")).where("pos > 0")
 
 
-@query("select o_orderkey, array_to_string(list_slice(list(k order by v desc, k), 1, 3), ',') top from (select o_orderkey, unnest(['a', 'b', 'c', 'd', 'e']) k, unnest([abs(a - 0.5), abs(b - 0.5), abs(c - 0.5), abs(d - 0.5), abs(e - 0.5)]) v from (select o_orderkey, (o_orderkey % 101) / 100.0::double a, (o_custkey % 97) / 96.0::double b, (o_orderkey % 31) / 30.0::double c, (o_custkey % 13) / 12.0::double d, (o_orderkey % 7) / 6.0::double e from orders)) group by 1")
-def win_top3_drivers(spark, d):
-    c = components(spark, d)
-    items = F.array(*[F.struct((-F.abs(F.col(k) - 0.5)).alias("v"), F.lit(k).alias("k")) for k in "abcde"])
-    return c.select("o_orderkey", F.array_join(F.transform(F.slice(F.array_sort(items), 1, 3), lambda x: x["k"]), ",").alias("top"))
-
-
 @query("select o_orderkey from (select o_orderkey, count(*) over (partition by o_custkey, o_orderpriority) n from orders) where n = 1")
 def win_unique_key(spark, d):
     w = Window.partitionBy("o_custkey", "o_orderpriority")
     return V.read(spark, d, "orders").withColumn("n", F.count("*").over(w)).where("n = 1").select("o_orderkey")
 
 
-@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) r, count(*) over () n from orders) where r <= greatest(1, n // 20)")
-def topk_top5pct(spark, d):
-    o = V.read(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    n = max(1, o.count() // 20)
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select("o_orderkey")
-
-
 @query("select c_nationkey, round(avg(c_acctbal), 4) score from customer group by 1 order by avg(c_acctbal) desc, 1 limit 6")
 def topk_regions(spark, d):
     a = V.read(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("s"))
@@ -436,19 +237,6 @@ def union_all(spark, d):
     return a.unionByName(b).groupBy("code").agg(F.min("src").alias("src"))
 
 
-@query("with a as (select c_custkey from customer order by c_acctbal desc, c_custkey limit 75), b as (select o_custkey c from orders group by 1 order by sum(o_totalprice) desc, 1 limit 75) select round(count(*) / 75.0::double, 6) share from a join b on c = c_custkey")
-def intersect_top_sets(spark, d):
-    a = V.read(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(75).select(F.col("c_custkey").alias("k"))
-    b = V.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("s")).orderBy(F.desc("s"), "k").limit(75).select("k")
-    return a.intersect(b).agg(F.round(F.count("*") / 75.0, 6).alias("share"))
-
-
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def except_used_rows(spark, d):
-    c = V.read(spark, d, "customer").select("c_custkey")
-    return c.join(V.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 @query(_sql(f"select {_CELL[0]} cx, {_CELL[1]} cy from f2_stop union select {_CELL[0]}, {_CELL[1]} from pts", "f2_stop", more=_PTS))
 def union_distinct_keys(spark, d):
     c = lambda df: df.select(geo.grid_x(F.col("lon")).alias("cx"), geo.grid_y(F.col("lat")).alias("cy"))

@@ -275,7 +275,7 @@ SEGMENTS = {
 }
 SEGMENT_SEARCH = """r(sa, sb, g, m) using key (sa, sb, g) as (select a::bigint, b::bigint, a::bigint, 0::double from sgm union
 select n.sa, n.sb, n.g, n.m from (select r.sa, r.sb, x.t g, min(r.m + x.m) m from r join x on x.sa = r.sa and x.sb = r.sb and x.f = r.g where r.m + x.m <= 68 group by 1, 2, 3) n left join recurring.r q on q.sa = n.sa and q.sb = n.sb and q.g = n.g where q.m is null or n.m < q.m - 1e-9)"""
-DETOURS = {"dt": "select sgm.a, sgm.b, trips, coalesce(least(1, greatest(0, m - direct) / 30.0), 1) detour from (select *, case when exists (select 1 from hp where hp.g = b and nxt = a) then 6 else 8 end direct from sgm) sgm left join r on r.sa = a and r.sb = b and r.g = b and m <= direct + 60 + 1e-9"}
+DETOURS = {"dt": "select sgm.a, sgm.b, trips, case when m is null then 1 else least(1, greatest(0, m - direct) / 30.0) end detour from (select *, case when exists (select 1 from hp where hp.g = b and nxt = a) then 6 else 8 end direct from sgm) sgm left join r on r.sa = a and r.sb = b and r.g = b and m <= direct + 60 + 1e-9"}
 
 
 @query(recursive("select a, b, trips, round(detour, 6) detour from dt", SEGMENTS, SEGMENT_SEARCH, DETOURS, views=("f2_ps", "f2_walk")))

@@ -259,16 +259,6 @@ def carbon_low_mid_high(spark, d):
     return c.select("o_orderkey", F.round(low, 4).alias("low"), F.round(mid, 4).alias("mid"), F.round(high, 4).alias("high"))
 
 
-@query(V.with_views("""select o.line, case when count(distinct r.r_name) > 3 then array_to_string(list_slice(list(r.r_name order by o.f), 1, 3), '·') || ' +' else array_to_string(list(r.r_name order by o.f), '·') end as label from (select p.line, n.n_regionkey k, min(p.pos) f from f2_ps p join f2_stop s on s.g = p.g join nation n on n.n_nationkey = s.region where p.pat % 2 = 0 group by 1, 2) o join region r on r.r_regionkey = o.k group by o.line""".replace("list(r.r_name order by o.f)", "list(r.r_name order by o.f, r.r_regionkey)"), "f2_stop", "f2_ps"))
-def line_area_label(spark, d):
-    n = V.read(spark, d, "nation").join(V.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("region"), "n_regionkey", "r_name")
-    p = V.f2_ps(spark, d).where("pat % 2 = 0").join(V.f2_stop(spark, d).select("g", "region"), "g").join(F.broadcast(n), "region")
-    first = p.groupBy("line", "n_regionkey", "r_name").agg(F.min("pos").alias("f"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("f", "n_regionkey", "r_name"))), lambda x: x["r_name"])
-    out = first.groupBy("line").agg(names.alias("l"))
-    return out.select("line", F.when(F.size("l") > 3, F.concat(F.array_join(F.slice("l", 1, 3), "·"), F.lit(" +"))).otherwise(F.array_join("l", "·")).alias("label"))
-
-
 @query(V.with_views("select g from f2_stop where lon between 124.0 and 127.02 and lat between 32.5 and 39.5", "f2_stop"))
 def filter_bbox(spark, d):
     return V.f2_stop(spark, d).where(geo.in_bbox(F.col("lon"), F.col("lat")) & (F.col("lon") <= 127.02)).select("g")

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stopgrid.params import SIDO_SHORT
-
-ARROWS = r"(?:↔|<->|->|→|~|-|－|>|<)"
+from stopgrid.params import ARROWS, NAME_MARKS, SIDO_SHORT, SPLIT_END, SPLIT_MARKS
 
 
 def normalize_name(c: Column) -> Column:
     """Without spaces, brackets and marks, in lower case."""
-    return F.lower(F.regexp_replace(c, r"[\s()\[\]·.\-_,/]", ""))
+    return F.lower(F.regexp_replace(c, NAME_MARKS, ""))
 
 
 def direction_free_key(c: Column) -> Column:
@@ -43,6 +41,12 @@ def dong_key(c: Column) -> Column:
     return F.array_join(F.slice(parts, 2, 99), "")
 
 
+def sido_dong_key(c: Column) -> Column:
+    """The first two letters of a full region name and its last part; a name of one part is its own key."""
+    parts = F.split(F.trim(c), r"\s+")
+    return F.when(F.size(parts) > 1, F.concat_ws("|", F.substring(parts[0], 1, 2), F.element_at(parts, -1))).otherwise(c)
+
+
 def split_base(c: Column) -> Column:
     """A quarter's name without numbers, dots and its last syllable."""
-    return F.regexp_replace(c, r"[\d.·]|동$", "")
+    return F.regexp_replace(F.regexp_replace(c, SPLIT_MARKS, ""), f"{SPLIT_END}+$", "")

@@ -57,3 +57,19 @@ SIDO_SHORT = {
     "울산광역시": "울산", "세종특별자치시": "세종", "경기도": "경기", "강원특별자치도": "강원", "충청북도": "충북", "충청남도": "충남",
     "전북특별자치도": "전북", "전라남도": "전남", "경상북도": "경북", "경상남도": "경남", "제주특별자치도": "제주", "전남광주통합특별시": "전남광주",
 }
+
+# Patterns of names.
+ARROWS = r"(?:↔|<->|->|→|~|-|－|>|<)"
+NAME_MARKS = r"[\s()\[\]·.\-_,/]"
+SPLIT_MARKS, SPLIT_END = r"[\d.·]+|동$", "동"
+
+# Patterns of columns and kinds in external tables.
+FACILITY_COLUMNS = {"name": r"기관명|yadmnm|name", "kind": r"종별|종류|clcdnm|kind", "lon": r"좌표\s*\(?\s*x|xpos|lon|경도|^x$", "lat": r"좌표\s*\(?\s*y|ypos|lat|위도|^y$"}
+EXCLUDED_KINDS, PHARMACY = "치과|한의|한방", "약국"
+METRO_CITIES = ("부산", "대구", "인천", "대전", "울산")
+CAPITAL, COUNTRY, JOINT = "서울", "전국", "전남광주"
+DOMESTIC_MAKERS = ("현대", "기아", "제네시스", "르노", "쉐보레", "한국지엠", "케이지모빌리티", "쌍용")
+USAGE_MIDS = (4.5, 8.0, 13.0, 18.0, 23.0)
+
+# The share that makes a cluster one of ferries or long distances; what trips weigh against isolation.
+TYPE_SHARE, RURAL_TRIPS = 0.4, 0.06

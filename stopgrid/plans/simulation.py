@@ -288,7 +288,7 @@ def segment_removal(net: Net, some: DataFrame | None = None) -> DataFrame:
     t = net.router().times(R.Scenarios(origins, blocked=asked.select("scn", "a", "b"), targets=targets))
     j = asked.join(t.select("scn", F.col("t").alias("after")), "scn", "left")
     detour = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("after") - F.col("direct")) / P.DETOUR_FULL_MIN)
-    return j.withColumn("detour", F.coalesce(detour, F.lit(1.0)))
+    return j.withColumn("detour", F.when(F.col("after").isNull(), 1.0).otherwise(detour))
 
 
 # ---------------------------------------------------------------- journeys

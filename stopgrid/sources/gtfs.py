@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import os
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +14,26 @@ from stopgrid.plans.storage import scratch
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
+def unzip(path: str, root: str, piece: int = 8 << 20) -> None:
+    """The text members of a zip as files of a folder, copied in pieces: no member is held whole."""
+    import pyarrow.fs as pafs
+
+    source, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    fs, to = pafs.FileSystem.from_uri(root)
+    fs.create_dir(to, recursive=True)
+    with source.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+        for n in z.namelist():
+            if n.endswith(".txt"):
+                with z.open(n) as member, fs.open_output_stream(f"{to}/{n.rsplit('/', 1)[-1]}") as out:
+                    while part := member.read(piece):
+                        out.write(part)
+
+
 def open_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All members of a feed by name, every column a string; a byte order mark is cut off."""
     if path.endswith(".zip"):
-        raw = spark.read.format("binaryFile").load(path).select("content").first()["content"]
         root = scratch(spark, "feed")
-        with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-            import pyarrow.fs as pafs
-
-            fs, at = pafs.FileSystem.from_uri(root)
-            fs.create_dir(at, recursive=True)
-            for n in z.namelist():
-                if n.endswith(".txt"):
-                    with fs.open_output_stream(f"{at}/{n.rsplit('/', 1)[-1]}") as out:
-                        out.write(z.read(n))
+        unzip(path, root)
         path = root
     found = {}
     for name in ("agency", "stops", "routes", "trips", "stop_times", "calendar"):
@@ -56,6 +62,18 @@ def stops(feed: dict[str, DataFrame]) -> DataFrame:
     return feed["stops"].select("stop_id", F.coalesce("stop_name", F.lit("")).alias("name"), F.round(F.col("stop_lon").try_cast("double"), 6).alias("lon"), F.round(F.col("stop_lat").try_cast("double"), 6).alias("lat"))
 
 
+def split_trips(feed: dict[str, DataFrame]) -> DataFrame:
+    """One row (trips, split): trips of the stop times, and those whose rows stand in more than one run of the file.
+
+    Readers that group neighbouring rows would take those apart; here they are
+    grouped by id, so the number is only a remark on the file.
+    """
+    st = feed["stop_times"].select("trip_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i"))
+    # Rows of one trip that lie as many places apart as they are rows stand together.
+    own = st.groupBy("trip_id").agg(F.count("*").alias("n"), (F.max("i") - F.min("i") + 1).alias("span"))
+    return own.agg(F.count("*").alias("trips"), F.count_if(F.col("span") > F.col("n")).alias("split"))
+
+
 def import_network(feed: dict[str, DataFrame], national: bool | None = None) -> dict[str, DataFrame]:
     """stops, and patterns (pattern_id, route_id, name, mode, trips, stops, minutes).
 

@@ -9,21 +9,46 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopgrid import params as P
 from stopgrid.functions import geo, score, text
 
 ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
 
 
+def decoding(spark: SparkSession, path: str) -> str:
+    """The first of ENCODINGS in which every line of the file can be read; the last one if none can.
+
+    Lines are decoded by the executors, so every byte counts. A line's bytes are
+    the same in the encodings tried, as a line end is no part of a longer sign.
+    """
+    names = {"UTF-8": "utf-8", "x-windows-949": "cp949", "EUC-KR": "euc-kr"}
+    raw = spark.read.option("lineSep", "\n").option("encoding", "ISO-8859-1").text(path)
+
+    def bad(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lost = {e: 0 for e in ENCODINGS}
+            for line in b.column(0).to_pylist():
+                own = (line or "").encode("latin-1")
+                for e in ENCODINGS:
+                    try:
+                        own.decode(names[e])
+                    except UnicodeDecodeError:
+                        lost[e] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(lost)), pa.array(list(lost.values()), pa.int64())], ["e", "n"])
+
+    lost = {r.e: r.n for r in raw.mapInArrow(bad, "e string, n bigint").groupBy("e").agg(F.sum("n").alias("n")).collect()}
+    return next((e for e in ENCODINGS if not lost.get(e)), ENCODINGS[-1])
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, all strings, in the first encoding that decodes its head without replacements."""
-    for e in ENCODINGS:
-        if e != "UTF-8":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark else knows Unicode and Latin only
-        df = spark.read.csv(path, header=True, encoding=e)
-        rows = [*df.columns, *[str(v) for r in df.limit(50).collect() for v in r]]
-        if not any("�" in x for x in rows):
-            break
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    """A CSV file with header, all strings, in the first encoding that reads all of it."""
+    e = decoding(spark, path)
+    if e != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark else knows Unicode and Latin only
+    df = spark.read.csv(path, header=True, encoding=e)
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def find(columns: list[str], pattern: str) -> str | None:
@@ -61,11 +86,64 @@ def population_wide(df: DataFrame) -> DataFrame:
     return out.withColumn("level", text.admin_level(F.col("code"))).withColumn("senior_pct", F.when(F.col("total") > 0, 100 * F.col("senior") / F.col("total")))
 
 
-def facilities(df: DataFrame, exclude: str = "치과|한의|한방") -> DataFrame:
-    """(name, kind, lon, lat) within the country's box, without excluded kinds."""
-    name, kind, x, y = (find(df.columns, p) for p in ("기관명", "종별|종류|kind", r"X\)|lon|경도", r"Y\)|lat|위도"))
-    out = df.select(F.col(name).alias("name"), F.col(kind).alias("kind"), F.col(f"`{x}`").try_cast("double").alias("lon"), F.col(f"`{y}`").try_cast("double").alias("lat"))
-    return out.where(geo.in_bbox(F.col("lon"), F.col("lat"))).where(~F.coalesce(F.col("kind"), F.lit("")).rlike(exclude))
+def without_kinds(df: DataFrame, exclude: str = P.EXCLUDED_KINDS) -> DataFrame:
+    """Facilities (kind) but those whose kind matches."""
+    return df.where(~F.coalesce(F.col("kind"), F.lit("")).rlike(exclude))
+
+
+def facilities(df: DataFrame, exclude: str | None = P.EXCLUDED_KINDS, kind: str | None = None) -> DataFrame:
+    """(name, kind, lon, lat) within the country's box, without excluded kinds; ``kind`` names all of a list of one kind."""
+    cols = {k: next((c for c in df.columns if re.search(v, c, re.I)), None) for k, v in P.FACILITY_COLUMNS.items()}
+    if cols["lon"] is None or cols["lat"] is None:
+        raise ValueError(f"no columns of coordinates among {df.columns}")
+    of = lambda k: F.col(f"`{cols[k]}`") if cols[k] else F.lit("")
+    own = F.lit(kind) if kind else of("kind")
+    out = df.select(of("name").alias("name"), own.alias("kind"), of("lon").try_cast("double").alias("lon"), of("lat").try_cast("double").alias("lat")).where(geo.in_bbox(F.col("lon"), F.col("lat")))
+    return without_kinds(out, exclude) if exclude else out
+
+
+def facility_stats(df: DataFrame, pharmacy: str = P.PHARMACY) -> DataFrame:
+    """One row (count, hospitals, pharmacies)."""
+    own = F.contains(F.coalesce(F.col("kind"), F.lit("")), F.lit(pharmacy))
+    return df.agg(F.count("*").alias("count"), F.count_if(~own).alias("hospitals"), F.count_if(own).alias("pharmacies"))
+
+
+def senior_optional(df: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, senior): shares (sigungu_code and senior_pct, or sido, sigungu and senior_pct) of regions (region, code, sido, name).
+
+    A code, its first five digits, comes before the names, without marks, under
+    the first two letters of the province; -1 where neither is known.
+    """
+    has = lambda c: F.trim(F.col(c)) if c in df.columns else F.lit(None).cast("string")
+    v = F.col("senior_pct").try_cast("double").alias("v")
+    by_code = df.select(F.substring(has("sigungu_code"), 1, 5).alias("code"), v).where("code <> ''").groupBy("code").agg(F.last("v").alias("by_code"))
+    name = text.normalize_name(has("sigungu"))
+    by_name = df.select(F.concat_ws("|", F.substring(F.coalesce(has("sido"), F.lit("")), 1, 2), name).alias("key"), name.alias("n"), v).where("n <> ''").groupBy("key").agg(F.last("v").alias("by_name"))
+    r = regions.select("region", F.substring("code", 1, 5).alias("code"), F.concat_ws("|", "sido", text.normalize_name(F.col("name"))).alias("key"))
+    return r.join(by_code, "code", "left").join(by_name, "key", "left").select("region", F.coalesce("by_code", "by_name", F.lit(-1.0)).alias("senior"))
+
+
+def coarse_senior(regions: DataFrame, fine: DataFrame, coarse: DataFrame) -> DataFrame:
+    """(region, senior, source): the share of seniors of regions (region, parent), from their own row (region, total, senior), else their parent's, else -1."""
+    share = lambda df, k: df.select(k, (100.0 * F.col("senior") / F.col("total")).alias("v"))
+    x = regions.join(share(fine, "region").withColumnRenamed("v", "a"), "region", "left").join(share(coarse, "parent").withColumnRenamed("v", "b"), "parent", "left")
+    return x.select("region", F.coalesce("a", "b", F.lit(-1.0)).alias("senior"), F.when(F.col("a").isNotNull(), "fine").when(F.col("b").isNotNull(), "coarse").otherwise("none").alias("source"))
+
+
+def carbon_tables(cars: DataFrame, fuel: DataFrame, usage: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``plans.carbon`` from the converted sheets: registrations (name, cars, people), petrol cars (maker, co2), usage (name, s0 to s4).
+
+    Columns are found by place in the first and the last, by name in the second.
+    """
+    n = lambda c: text.num_clean(F.col(f"`{c}`"))
+    c = cars.columns
+    has = F.col(f"`{c[2]}`").isNotNull() & (F.trim(F.col(f"`{c[2]}`")) != "")
+    a = cars.select(F.trim(F.col(f"`{c[0]}`")).alias("name"), F.when(has, n(c[2])).alias("cars"), n(c[3]).alias("people")).where("name <> '' and people > 0")
+    g = fuel.where((F.col("연료") == "휘발유") & (F.col("`자동차 종류`") == "승용차") & (F.col("차량형식") == "내연기관"))
+    b = g.select(F.col("업체명").alias("maker"), n("CO2배출량(g/km)").alias("co2"))
+    u = usage.columns
+    num = [F.col(f"`{x}`").try_cast("double").alias(f"s{i}") for i, x in enumerate(u[-5:])]
+    return a, b, usage.select(F.trim(F.col(f"`{u[0]}`")).alias("name"), *num).where(" and ".join(f"s{i} is not null" for i in range(5)))
 
 
 def points(df: DataFrame) -> DataFrame:
@@ -105,3 +183,43 @@ def legacy_network(page: str) -> dict:
         except (ValueError, OSError):
             continue
     return out
+
+
+def network_tables(spark: SparkSession, page: str, stops: str, routes: str) -> dict[str, DataFrame]:
+    """stops and patterns, as ``gtfs.import_network`` gives them, of a page's blocks; patterns have no minutes.
+
+    ``stops`` names a block of lists id, name, lon, lat; ``routes`` one of lists
+    id, name, mode, trips, stops (places in the stops' lists).
+    """
+    found = legacy_network(page)
+    s, r = found[stops], found[routes]
+    at = spark.createDataFrame([(str(i), str(n or ""), float(x), float(y)) for i, n, x, y in zip(s["id"], s["name"], s["lon"], s["lat"], strict=True)], "stop_id string, name string, lon double, lat double")
+    rows = [(f"{i}#0", str(i), str(n or ""), str(m), float(t), [str(s["id"][k]) for k in seq], None) for i, n, m, t, seq in zip(r["id"], r["name"], r["mode"], r["trips"], r["stops"], strict=True) if len(seq) >= 2]
+    kind = "pattern_id string, route_id string, name string, mode string, trips double, stops array<string>, minutes array<double>"
+    return {"stops": at, "patterns": spark.createDataFrame(rows, kind)}
+
+
+def config(path: str) -> dict:
+    """Values of a JSON file by name, over those of ``stopgrid.params``: a name that is none of them is an error."""
+    from stopgrid import params
+
+    own = {k: v for k, v in vars(params).items() if k.isupper()}
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if unknown := sorted(set(given) - set(own)):
+        raise ValueError(f"no such values: {unknown}")
+    return own | {k: tuple(v) if isinstance(own[k], tuple) else v for k, v in given.items()}
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A file of JSON, a document on one line or on many."""
+    return spark.read.json(path, multiLine=True)
+
+
+def converted_shapes(spark: SparkSession, path: str, projection: str = "xy") -> DataFrame:
+    """(link, a, b, m, xs, ys): road links of a shapefile converted to lines of JSON (link, f, t, xy), xy a list of corners in metres; their lengths are measured."""
+    raw = spark.read.schema(f"link bigint, f bigint, t bigint, {projection} array<array<double>>").json(path)
+    p = F.col(projection)
+    step = F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 2, F.lit(0))), lambda i: F.sqrt(F.pow(F.get(F.get(p, i), F.lit(0)) - F.get(F.get(p, i + 1), F.lit(0)), 2) + F.pow(F.get(F.get(p, i), F.lit(1)) - F.get(F.get(p, i + 1), F.lit(1)), 2)))
+    m = F.aggregate(step, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return raw.where(F.size(p) >= 2).select("link", F.col("f").alias("a"), F.col("t").alias("b"), m.alias("m"), F.transform(p, lambda c: c[0]).alias("xs"), F.transform(p, lambda c: c[1]).alias("ys"))
