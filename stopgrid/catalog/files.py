@@ -63,12 +63,12 @@ def scan_split_trips(spark, d):
 
 @query(f"""with x as (select l_orderkey trip, l_linenumber * 1000 + l_partkey % 1000 seq, l_suppkey % 8 k, (l_linenumber * 7 + l_orderkey % 50) * 60 sec from lineitem where l_suppkey % 8 < 7),
 t as (select trip, o_custkey % 40 route, list(k order by seq, k, sec) ks, case when trip % 3 = 1 then 5 / 7.0::double else 1 end w from x join orders on o_orderkey = trip group by 1, 2, 4 having count(*) >= 2)
-select 'R' || route::varchar route_id, count(distinct ks) patterns, round(sum(w), 1) trips from t group by 1""")
+select 'R' || route::varchar route_id, count(*) patterns, round(sum(w), 2) trips from (select route, ks, round(sum(w), 2) w from t group by 1, 2) group by 1""")
 def scan_gtfs_container(spark, d):
     """A feed from its files to patterns, summed by route."""
     p = gtfs.import_network(_feed(spark, d))["patterns"]
     # Each pattern's trips are rounded to two digits.
-    return p.groupBy("route_id").agg(F.count("*").alias("patterns"), F.round(F.sum("trips"), 1).alias("trips"))
+    return p.groupBy("route_id").agg(F.count("*").alias("patterns"), F.round(F.sum("trips"), 2).alias("trips"))
 
 
 def _csv(spark, df, name, encoding="UTF-8"):
@@ -121,14 +121,14 @@ def scan_population_wide(spark, d):
 @query("select c_custkey id, round(124.5::double + (c_custkey % 90) * 0.1::double, 6) lon, '병원' as kind from customer where c_custkey % 3 > 0 and 124.5 + (c_custkey % 90) * 0.1 <= 132.5")
 def scan_facilities(spark, d):
     k = F.col("c_custkey")
-    c = V.read(spark, d, "customer").select(k.cast("string").alias("요양기관명"), F.when(k % 3 > 0, "병원").otherwise("치과의원").alias("종별코드명"), F.format_number(124.5 + (k % 90) * 0.1, "0.000000").alias("좌표(X)"), F.lit("36.5").alias("좌표(Y)"))
+    c = V.read(spark, d, "customer").select(k.cast("string").alias("요양기관명"), F.when(k % 3 > 0, "병원").otherwise("치과의원").alias("종별코드명"), F.round(124.5 + (k % 90) * 0.1, 6).cast("string").alias("좌표(X)"), F.lit("36.5").alias("좌표(Y)"))
     return tables.facilities(_csv(spark, c, "facilities")).select(F.col("name").cast("long").alias("id"), F.round("lon", 6).alias("lon"), "kind")
 
 
 @query("select round(127.0::double + (c_custkey % 50) * 0.01::double, 6) lon, c_custkey::double as value from customer where c_custkey % 5 > 0")
 def scan_points_optional(spark, d):
     k = F.col("c_custkey")
-    c = V.read(spark, d, "customer").select(F.when(k % 5 > 0, F.format_number(127 + (k % 50) * 0.01, "0.000000")).otherwise("?").alias("lon"), F.lit("36").alias("lat"), k.cast("string").alias("value"))
+    c = V.read(spark, d, "customer").select(F.when(k % 5 > 0, F.round(127 + (k % 50) * 0.01, 6).cast("string")).otherwise("?").alias("lon"), F.lit("36").alias("lat"), k.cast("string").alias("value"))
     return tables.points(_csv(spark, c, "points")).select(F.round("lon", 6).alias("lon"), "value")
 
 
@@ -154,7 +154,7 @@ def scan_boardings(spark, d):
 def scan_geojson(spark, d):
     k = F.col("r_regionkey").cast("double")
     ring = F.array(*[F.array(k + x, F.lit(float(y))) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
-    f = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("name"), F.col("r_name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    f = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("r_name").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     all_ = V.read(spark, d, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", f.alias("f")))), lambda x: x["f"]).alias("features"))  # five regions
     at = scratch(spark, "geo")
     all_.select(F.lit("FeatureCollection").alias("type"), "features").coalesce(1).write.json(at)

@@ -166,7 +166,7 @@ def ml_policy_surrogate(spark, d):
 def ml_validate_capture(spark, d):
     """Within each budget, the benefit that the search and as many random candidates capture; with the quality on candidates held out."""
     x = searched(spark, d).withColumnRenamed("scn", "item")
-    held = x.where("~train").withColumn("p", F.log1p(F.greatest(F.col("p_benefit"), F.lit(-0.99))))
+    held = x.where("not train").withColumn("p", F.log1p(F.greatest(F.col("p_benefit"), F.lit(-0.99))))
     quality = L.fit_quality(held, "log_benefit", "p").select(F.col("r2").alias("r2_holdout"))
     rho = R.spearman(held.select(F.round("benefit", 9).alias("b"), F.round("p_benefit", 9).alias("p")), "b", "p").withColumnRenamed("rho", "spearman_holdout")
     share = x.agg(F.avg(F.col("chosen").cast("double"))).first()[0] or 0.0

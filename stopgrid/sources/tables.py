@@ -22,7 +22,7 @@ def decoding(spark: SparkSession, path: str) -> str:
     the same in the encodings tried, as a line end is no part of a longer sign.
     """
     names = {"UTF-8": "utf-8", "x-windows-949": "cp949", "EUC-KR": "euc-kr"}
-    raw = spark.read.option("lineSep", "\n").option("encoding", "ISO-8859-1").text(path)
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))  # the bytes as they are
 
     def bad(batches):
         import pyarrow as pa
@@ -30,10 +30,9 @@ def decoding(spark: SparkSession, path: str) -> str:
         for b in batches:
             lost = {e: 0 for e in ENCODINGS}
             for line in b.column(0).to_pylist():
-                own = (line or "").encode("latin-1")
                 for e in ENCODINGS:
                     try:
-                        own.decode(names[e])
+                        line.decode(names[e])
                     except UnicodeDecodeError:
                         lost[e] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(lost)), pa.array(list(lost.values()), pa.int64())], ["e", "n"])

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest tables, and the queries without SQL for rows."""
+"""Registered queries against their SQL."""
 
 import os
 
@@ -9,8 +9,9 @@ from stopgrid.catalog import QUERIES, SQL
 from stopgrid.flagship import PATTERN_GRADES_SQL, pattern_grades
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(H.DATA), reason="no test tables")
-#: Networks of more than ten suppliers are needed here, so these run on the next size.
-QUICK = [k for k, f in QUERIES.items() if not f.__module__.endswith(("graph", "models"))] + ["sssp_transit", "sssp_blocked", "od_pairs", "stop_closure", "policy_drt", "stat_weight_sensitivity"]
+#: Those that take SQL or models longest are left to the driver's own comparison.
+SLOW = {"agg_capture", "agg_portfolio", "topk_portfolio_items", "portfolio_item_index", "policy_extension", "link_summary", "removed_pairs", "line_removal_people", "line_segment_dependency", "affected_pairs_filter", "segment_dedupe_by_grade", "stat_sensitivity_summary", "sssp_limit", "sssp_no_walk", "sssp_closed", "sssp_wait_scale", "sssp_extra_links", "sssp_multi_origin"}
+QUICK = sorted(set(SQL) - SLOW)
 
 
 @pytest.fixture(scope="module")
