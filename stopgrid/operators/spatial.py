@@ -153,5 +153,6 @@ def locate(points: DataFrame, areas: DataFrame, cell: float = 0.5, nearest: bool
     if nearest and not areas.isEmpty():
         found = written(found, "located")
         found = found.unionByName(_nearest_area(places.join(found, ["lon", "lat"], "left_anti"), areas, cell / 4))
-    keep = [points[c] for c in points.columns]
-    return points.join(found, (points["lon"] == found["lon"]) & (points["lat"] == found["lat"]), "left").select(*keep, found["area"])
+    named = found.select(F.col("lon").alias("__lon"), F.col("lat").alias("__lat"), "area")
+    own = points.drop("area")
+    return own.join(named, (F.col("lon") == F.col("__lon")) & (F.col("lat") == F.col("__lat")), "left").select(*own.columns, "area")

@@ -138,8 +138,8 @@ def carbon_tables(cars: DataFrame, fuel: DataFrame, usage: DataFrame) -> tuple[D
     c = cars.columns
     has = F.col(f"`{c[2]}`").isNotNull() & (F.trim(F.col(f"`{c[2]}`")) != "")
     a = cars.select(F.trim(F.col(f"`{c[0]}`")).alias("name"), F.when(has, n(c[2])).alias("cars"), n(c[3]).alias("people")).where("name <> '' and people > 0")
-    g = fuel.where((F.col("연료") == "휘발유") & (F.col("`자동차 종류`") == "승용차") & (F.col("차량형식") == "내연기관"))
-    b = g.select(F.col("업체명").alias("maker"), n("CO2배출량(g/km)").alias("co2"))
+    g = fuel.where((F.col("`연료`") == "휘발유") & (F.col("`자동차 종류`") == "승용차") & (F.col("`차량형식`") == "내연기관"))
+    b = g.select(F.col("`업체명`").alias("maker"), n("CO2배출량(g/km)").alias("co2"))
     u = usage.columns
     num = [F.col(f"`{x}`").try_cast("double").alias(f"s{i}") for i, x in enumerate(u[-5:])]
     return a, b, usage.select(F.trim(F.col(f"`{u[0]}`")).alias("name"), *num).where(" and ".join(f"s{i} is not null" for i in range(5)))

@@ -105,8 +105,8 @@ def test_regions_are_matched_in_four_tiers(spark):
 
 def test_carbon_inputs(spark):
     sheet = spark.createDataFrame([("전국", "0.5", "1,000", "2000"), ("서울특별시", "", "300", "900"), ("경기도", "", "500", "800"), ("전남광주통합특별시", "", "", "")], "a string, b string, c string, d string")
-    fuel = spark.createDataFrame([("현대", "휘발유", "승용차", "내연기관", "120"), ("기아", "휘발유", "승용차", "내연기관", "100"), ("Other", "휘발유", "승용차", "내연기관", "200"), ("현대", "경유", "승용차", "내연기관", "999"), ("현대", "휘발유", "화물차", "내연기관", "999")], "업체명 string, 연료 string, `자동차 종류` string, 차량형식 string, `CO2배출량(g/km)` string")
-    usage = spark.createDataFrame([("전체", "20", "20", "20", "20", "20"), ("서울", "0", "0", "0", "0", "100"), ("note", "x", "", "", "", "")], "구분 string, s string, t string, u string, v string, w string")
+    fuel = spark.createDataFrame([("현대", "휘발유", "승용차", "내연기관", "120"), ("기아", "휘발유", "승용차", "내연기관", "100"), ("Other", "휘발유", "승용차", "내연기관", "200"), ("현대", "경유", "승용차", "내연기관", "999"), ("현대", "휘발유", "화물차", "내연기관", "999")], "`업체명` string, `연료` string, `자동차 종류` string, `차량형식` string, `CO2배출량(g/km)` string")
+    usage = spark.createDataFrame([("전체", "20", "20", "20", "20", "20"), ("서울", "0", "0", "0", "0", "100"), ("note", "x", "", "", "", "")], "`구분` string, s string, t string, u string, v string, w string")
     cars, models, use = tables.carbon_tables(sheet, fuel, usage)
     c = {r.sido: r.cars for r in carbon.cars_per_person(cars).collect()}
     assert c == pytest.approx({"서울": 300 / 900, "경기": 500 / 800, "전남광주": 200 / 300, "": 0.5})
