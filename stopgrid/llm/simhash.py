@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from stopgrid.operators.components import connected_components
 
-from .common import join_by_count, own_name, parallel, small_batches, written
+from .common import BROADCAST_ROWS, join_by_count, own_name, parallel, small_batches, written
 
 SEED = 42
 CELL = 4096
 #: Nodes up to which near points must agree on 3, 4, 5 parts of the grid; on 6 beyond. More parts
-#: make cells smaller, so that points seldom meet by chance, for more cells a point.
+#: make cells smaller, so that points seldom meet by chance, for more cells a point (20, 35, 56, ...).
 AGREE = ((1 << 20, 3), (1 << 23, 4), (1 << 26, 5))
 #: Of the sets of shingles: least hashes a band, bands, and documents of a cell that a task compares with as many others.
 BAND_ROWS, BANDS, SET_CELL = 5, 20, 512
@@ -187,11 +187,11 @@ def links_in_cells(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int)
     return a[a != b], b[a != b]
 
 
-def links(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
-    """(a, b): near nodes, enough of them to span every component. Near points agree on ``agree`` parts or more."""
+def links(nodes: DataFrame, bits: int) -> DataFrame:
+    """(a, b): near nodes, enough of them to span every component."""
     spark = nodes.sparkSession
     n = nodes.count()
-    cells = grid(nodes, bits, max(agree, next((a for most, a in AGREE if n <= most), 6)))
+    cells = grid(nodes, bits, next((a for most, a in AGREE if n <= most), 6))
     sizes = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shared = join_by_count(cells, sizes, ["cell"], "n", total) if total else cells.join(sizes, "cell")
@@ -263,15 +263,26 @@ def similar_links(docs: DataFrame, text: str, shingle: int, table: DataFrame, of
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if not total:
         return equal
+    # Of a large cell the members of its largest component are compared with the others only, not with each other.
+    own = join_by_count(cells, sizes.where(F.col("n") > SET_CELL), ["cell"], "n", total).groupBy("cell", "component").agg(F.count("*").alias("c"))
+    major = own.groupBy("cell").agg(F.max(F.struct("c", "component")).alias("m")).select("cell", F.col("m.component").alias("major"), F.col("m.c").alias("nm"))
+    sizes = written(sizes.join(major, "cell", "left"), "cell_majors")
     shared = join_by_count(cells, sizes, ["cell"], "n", total)
-    k = F.ceil(F.col("n") / SET_CELL).cast("int")
-    block = F.pmod(F.xxhash64("sh", F.lit(7)), k).cast("int")
-    pair = F.explode(F.when(k == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.least(o, F.col("block")) * k + F.greatest(o, F.col("block")))))
+    km, kr = F.ceil(F.col("nm") / SET_CELL).cast("int"), F.ceil((F.col("n") - F.col("nm")) / SET_CELL).cast("int")
+    is_major = F.col("component") == F.col("major")
+    block = F.coalesce(F.pmod(F.xxhash64("sh", F.lit(7)), F.when(is_major, km).otherwise(kr)).cast("int"), F.lit(0))
+    b = F.col("block")
+    beside = F.transform(F.sequence(F.lit(0), kr - 1), lambda o: b * kr + o)
+    others = F.concat(F.transform(F.sequence(F.lit(0), km - 1), lambda o: o * kr + b), F.transform(F.sequence(F.lit(0), kr - 1), lambda o: km * kr + F.least(o, b) * kr + F.greatest(o, b)))
+    pair = F.explode(F.when(F.col("major").isNull(), F.array(F.lit(0))).when(is_major, beside).otherwise(others))
     shared = written(shared.withColumn("block", block), "set_members")
     dealt = shared.select("cell", "sh", "node", "component", pair.alias("pair")).select(F.xxhash64("cell", "pair").alias("key"), "sh", "node", "component")
-    wanted = sets.join(shared.select("sh").distinct(), "sh").select("th", "c")
+    wanted = written(sets.join(shared.select("sh").distinct(), "sh").select("th", "c"), "wanted")
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    once = join_by_count(texts, wanted, ["th"], "c", table.count()).groupBy("th").agg(F.first("t").alias("t"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # texts stay where they are
+        once = texts.join(F.broadcast(wanted.select("th")), "th", "left_semi")
+    else:
+        once = join_by_count(texts, wanted, ["th"], "c", table.count()).groupBy("th").agg(F.first("t").alias("t"))
     small_batches(spark)
 
     def arrays(batches):
@@ -282,7 +293,8 @@ def similar_links(docs: DataFrame, text: str, shingle: int, table: DataFrame, of
             sh = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([s.tobytes() for s in found], pa.binary())], ["sh", "s"])
 
-    held_sets = written(once.select("t").mapInArrow(arrays, "sh bigint, s binary"), "shingle_sets")
+    found = once.select("t").mapInArrow(arrays, "sh bigint, s binary")
+    held_sets = written(found.groupBy("sh").agg(F.first("s").alias("s")), "shingle_sets")
     # Dealt by number: the sizes that the engine goes by are of the rows before they get their sets.
     with_sets = dealt.repartition(parallel(spark), "sh").join(held_sets.repartition(parallel(spark), "sh"), "sh")
     sorted_ = with_sets.select("key", "node", "component", "s").repartition(parallel(spark), "key").sortWithinPartitions("key")
@@ -312,8 +324,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int,
     node = F.element_at("fps", 1) if number == 1 else F.xxhash64("fps")
     table = written(fingerprint_table(docs, doc_id, text, shingle, number, similar).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    # Several fingerprints meet by chance that many times as often: smaller cells.
-    found = written(links(nodes, bits, 3 if number == 1 else 4).distinct(), "links")
+    found = written(links(nodes, bits).distinct(), "links")
     of = connected_components(found)
     if similar:
         of = written(of, "components")
