@@ -38,7 +38,7 @@ def test_greedy_in_ranges(spark, monkeypatch, first, ranges):
     assert sorted((x.budget, x.item, x.spent) for x in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["greedy_budget", "agg_capture", "agg_portfolio", "portfolio_item_index"])
+@pytest.mark.parametrize("name", ["greedy_budget", "agg_capture", "agg_portfolio", "portfolio_item_index", "topk_portfolio_items"])
 def test_many_items(spark, many, name):
     got = QUERIES[name](spark, str(many))
     assert got.count() > 0
