@@ -36,7 +36,9 @@ def match_regions(areas: DataFrame, people: DataFrame) -> DataFrame:
     free = p.join(three, "pcode", "left_anti")
     # Prefixes of a last part are few and short, so rows meet areas by them.
     begins = free.select("pcode", "psido", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("last"), F.lit(2))), lambda n: F.substring("last", 1, n))).alias("base"))
-    t4 = open_.join(begins, (open_["base"] == begins["base"]) & (open_["sido"] == begins["psido"])).groupBy("pcode").agg(F.min("ix").alias("ix")).select("ix", "pcode", F.lit("split").alias("tier"))
+    # Areas of one name stand for each other: only the first of them can get a row.
+    first = open_.groupBy("base", F.col("sido").alias("psido")).agg(F.min("ix").alias("ix"))
+    t4 = first.join(begins, ["base", "psido"]).groupBy("pcode").agg(F.min("ix").alias("ix")).select("ix", "pcode", F.lit("split").alias("tier"))
     sums = three.unionByName(t4).join(people.select(F.col("code").alias("pcode"), "total", "senior"), "pcode").groupBy("ix", "tier").agg(F.sum("total").alias("people"), F.sum("senior").alias("senior"), F.count("*").alias("rows"))
     return areas.select("ix").join(sums, "ix", "left").fillna("none", ["tier"]).fillna(0, ["rows"]).select("ix", "tier", "people", "senior", "rows")
 

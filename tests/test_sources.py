@@ -102,6 +102,22 @@ def test_regions_are_matched_in_four_tiers(spark):
     assert got[3] == ("split", 90.0, 9.0, 2) and got[4] == ("none", None, None, 0)  # the first area takes what was divided
     assert got[5][0] == got[6][0] == "none"  # its name stands twice, and it has one letter only
 
+def _joined(p):
+    """The most rows that a join of a plan has made."""
+    own = p.metrics().get("numOutputRows") if "Join" in p.nodeName() else None
+    below = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+    return max([own.get().value() if own is not None and own.isDefined() else 0, *[_joined(x) for x in below]])
+
+
+def test_divided_quarters_without_pairs(spark):
+    """Areas of one name meet a row once, not each."""
+    a = spark.range(2000).select(F.col("id").alias("ix"), F.concat(F.lit("a"), "id").alias("code"), F.lit("경기도 구1 동네동").alias("name"))
+    p = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("code"), F.format_string("경기도 구2 동네%d동", "id").alias("name"), F.lit(1.0).alias("total"), F.lit(0.0).alias("senior"))
+    got = matching.match_regions(a, p)
+    rows = {r.ix: (r.tier, r.rows) for r in got.collect()}
+    assert rows[0] == ("split", 2000) and all(rows[i] == ("none", 0) for i in range(1, 2000))
+    assert _joined(got._jdf.queryExecution().executedPlan()) < 100_000
+
 
 def test_carbon_inputs(spark):
     sheet = spark.createDataFrame([("전국", "0.5", "1,000", "2000"), ("서울특별시", "", "300", "900"), ("경기도", "", "500", "800"), ("전남광주통합특별시", "", "", "")], "a string, b string, c string, d string")
