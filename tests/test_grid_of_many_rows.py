@@ -19,7 +19,7 @@ def grid(tmp_path_factory):
     return d
 
 
-NAMES = "cc_lines".split()
+NAMES = "cc_lines data_status".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
