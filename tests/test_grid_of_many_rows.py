@@ -19,7 +19,7 @@ def grid(tmp_path_factory):
     return d
 
 
-NAMES = "cc_lines data_status".split()
+NAMES = "cc_lines data_status edge_set_overlap".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
