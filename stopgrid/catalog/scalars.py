@@ -63,7 +63,7 @@ _HAV = "2 * 6371000.0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + co
 
 
 def _hops(spark, d):
-    ps = V.f2_ps(spark, d).withColumn("nxt", F.lead("g").over(Window.partitionBy("pat").orderBy("pos")))
+    ps = V.f2_ps(spark, d).withColumn("nxt", F.lead("g").over(Window.partitionBy("pat").orderBy("pos", "g")))
     s = V.f2_stop(spark, d)
     a, b = s.select("g", "lon", "lat"), s.select(F.col("g").alias("nxt"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     return ps.join(a, "g").join(b, "nxt", "left").withColumn("m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")))
@@ -83,7 +83,7 @@ def walk_minutes(spark, d):
 @query(V.with_views(f"""select h.pat, h.pos, round(coalesce(sum({_HAV} / 1000 * 1.30 / 20 * 60 + 0.4) over (partition by h.pat order by h.pos rows between unbounded preceding and 1 preceding), 0), 4) as minutes from ({_HOP}) h join f2_stop a on a.g = h.g left join f2_stop b on b.g = h.nxt""", "f2_stop", "f2_ps"))
 def estimate_minutes(spark, d):
     leg = F.col("m") / 1000 * P.DETOUR[0] / P.SPEED_KMH[0] * 60 + P.DWELL_MIN[0]
-    w = Window.partitionBy("pat").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("pat").orderBy("pos", "g").rowsBetween(Window.unboundedPreceding, -1)
     return _hops(spark, d).select("pat", "pos", F.round(F.coalesce(F.sum(leg).over(w), F.lit(0.0)), 4).alias("minutes"))
 
 
