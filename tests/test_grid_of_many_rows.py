@@ -19,7 +19,7 @@ def grid(tmp_path_factory):
     return d
 
 
-NAMES = "cc_lines data_status edge_set_overlap estimate_minutes".split()
+NAMES = "cc_lines data_status edge_set_overlap estimate_minutes group_trips".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
