@@ -19,7 +19,7 @@ def grid(tmp_path_factory):
     return d
 
 
-NAMES = "cc_lines data_status edge_set_overlap estimate_minutes group_trips agg_edge_frequency agg_group_service agg_line agg_stop_trips_by_line built_lines win_running_min_board haversine_m".split()
+NAMES = "cc_lines data_status edge_set_overlap estimate_minutes group_trips agg_edge_frequency agg_group_service agg_line agg_stop_trips_by_line built_lines win_running_min_board haversine_m is_station".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
