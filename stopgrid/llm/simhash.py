@@ -10,8 +10,14 @@ Manhattan distance is an equality on parts of the grid, exact by the pigeonhole,
 and no task scans a range. Within a cell the Manhattan distance filters, then
 the Hamming distance decides. The result is exact: no link is lost.
 
-Equal fingerprints are one node from the start. A cell gives a spanning forest
-of its links, not all pairs: its component structure is the same. Cells with
+By chance points meet in a cell as often as the square of their number. Where a
+document has several fingerprints, each meets on its own; cells are then split
+by the bits of their parts, not the counts alone. That is as exact, since near
+fingerprints also have a parts with equal bits, and chance meetings are some
+hundred times fewer.
+
+Equal fingerprints are one node from the start. A task gives a spanning forest
+of the links of a batch of cells, not all pairs: the components are the same. Cells with
 more than CELL nodes are cut into blocks and each pair of blocks is a task's
 work, so no task holds more than two blocks; a cell of n different fingerprints
 deals n * n / CELL rows. Links, components and fingerprints stay distributed.
@@ -42,6 +48,8 @@ CELL = 4096
 #: Nodes up to which near points must agree on 3, 4, 5 parts of the grid; on 6 beyond. More parts
 #: make cells smaller, so that points seldom meet by chance, for more cells a point (20, 35, 56, ...).
 AGREE = ((1 << 20, 3), (1 << 23, 4), (1 << 26, 5))
+#: So many times as many nodes where cells are split by bits, with fewer meetings by chance.
+AGREE_SPLIT = 128
 #: Of the sets of shingles: least hashes a band, bands, and documents of a cell that a task compares with as many others.
 BAND_ROWS, BANDS, SET_CELL = 5, 20, 512
 _R = np.random.default_rng(SEED)
@@ -122,8 +130,8 @@ def fingerprint_table(docs: DataFrame, doc_id: str, text: str, shingle: int, num
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, schema)
 
 
-def grid(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
-    """(cell, fp, node): each node in the cells where its near ones must meet it."""
+def grid(nodes: DataFrame, bits: int, agree: int = 3, split: bool = False) -> DataFrame:
+    """(cell, fp, node): each node in the cells where its near ones must meet it; with ``split`` those of equal bits only."""
     parts = bits + agree
     size = [32 // parts + (k < 32 % parts) for k in range(parts)]
     masks = [((1 << 2 * n) - 1) << 2 * sum(size[:k]) & ODD for k, n in enumerate(size)]
@@ -133,7 +141,10 @@ def grid(nodes: DataFrame, bits: int, agree: int = 3) -> DataFrame:
     # Of a segment's two bits: is any set, are both set. Together they tell the count.
     out = nodes.select("node", F.posexplode("fps").alias("j", "fp")).withColumn("any", low.bitwiseOR(high)).withColumn("both", low.bitwiseAND(high))
     chosen = [sum(masks[i] for i in c) for c in combinations(range(parts), agree)]
-    cells = [F.xxhash64("j", F.lit(k), F.col("any").bitwiseAND(F.lit(signed(m))), F.col("both").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(chosen)]
+    if split:  # equal bits have equal counts
+        cells = [F.xxhash64("j", F.lit(k), fp.bitwiseAND(F.lit(signed(m | m << 1)))) for k, m in enumerate(chosen)]
+    else:
+        cells = [F.xxhash64("j", F.lit(k), F.col("any").bitwiseAND(F.lit(signed(m))), F.col("both").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(chosen)]
     return out.select("node", "fp", F.explode(F.array(*cells)).alias("cell"))
 
 
@@ -187,14 +198,34 @@ def links_in_cells(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int)
     return a[a != b], b[a != b]
 
 
-def links(nodes: DataFrame, bits: int) -> DataFrame:
-    """(a, b): near nodes, enough of them to span every component."""
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (a, b) a forest that spans the same components."""
+    if not len(a):
+        return a, b
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    x, y = np.divmod(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)), len(names))
+    root, kept = list(range(len(names))), []
+    for i, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append(i)
+    return names[x[kept]], names[y[kept]]
+
+
+def links(nodes: DataFrame, bits: int, split: bool = False) -> DataFrame:
+    """(a, b): near nodes, enough of them to span every component; ``split`` as in ``grid``."""
     spark = nodes.sparkSession
-    n = nodes.count()
-    cells = grid(nodes, bits, next((a for most, a in AGREE if n <= most), 6))
+    n = nodes.count() // (AGREE_SPLIT if split else 1)
+    cells = grid(nodes, bits, next((a for most, a in AGREE if n <= most), 6), split)
     sizes = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    shared = join_by_count(cells, sizes, ["cell"], "n", total) if total else cells.join(sizes, "cell")
+    total, met = sizes.agg(F.sum("n"), F.count("*")).first()
+    # Most cells hold one node: where the others are few, nothing of these is shuffled.
+    shared = cells.join(F.broadcast(sizes), "cell") if met <= BROADCAST_ROWS else join_by_count(cells, sizes, ["cell"], "n", total)
     k = F.ceil(F.col("n") / CELL).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(7)), k).cast("int")
     others = F.sequence(F.lit(0), k - 1)
@@ -209,7 +240,7 @@ def links(nodes: DataFrame, bits: int) -> DataFrame:
         held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
         def made(key, fp, node):
-            a, b = links_in_cells(key, fp, node, bits)
+            a, b = spanning(*links_in_cells(key, fp, node, bits))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for x in batches:
@@ -324,12 +355,12 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int,
     node = F.element_at("fps", 1) if number == 1 else F.xxhash64("fps")
     table = written(fingerprint_table(docs, doc_id, text, shingle, number, similar).withColumn("node", node), "fingerprints")
     nodes = written(table.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    found = written(links(nodes, bits).distinct(), "links")
-    of = connected_components(found)
+    found = written(links(nodes, bits, number > 1).distinct(), "links")
+    of = connected_components(found, local=BROADCAST_ROWS)
     if similar:
         of = written(of, "components")
         found = found.unionByName(written(similar_links(docs, text, shingle, table, of).where("a <> b").distinct(), "similar"))
-        of = connected_components(found)
+        of = connected_components(found, local=BROADCAST_ROWS)
     named = nodes.select("node", "least", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("__nodes"))
     # A component may hold a large part of all nodes.

@@ -102,3 +102,31 @@ def test_many_fingerprints(spark):
     rows = [(i, " ".join(f"w{(k * 7919) % 1000 if k != i * 3 else i}" for k in range(400)), "en", "s", 0) for i in range(10)] + [(99, "quite another text here", "en", "s", 0)]
     out = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), shingle=5, number=8).collect()}
     assert out[99] == 99 and Counter(out.values())[0] == 10
+
+
+def test_cells_split_by_bits_lose_no_link_and_meet_seldom_by_chance(spark, monkeypatch):
+    r = random.Random(8)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for i in range(60):
+        fps = [r.getrandbits(64) for _ in range(4)]
+        rows += [fps, [r.getrandbits(64) if j != i % 4 else x ^ (1 << r.randrange(64) | 1 << r.randrange(64) | 1 << r.randrange(64)) for j, x in enumerate(fps)]]
+    want = {(2 * i, 2 * i + 1) for i in range(60)}
+    rows += [[r.getrandbits(64) for _ in range(4)] for _ in range(4000)]
+    nodes = spark.createDataFrame([(i, [sign(x) for x in f]) for i, f in enumerate(rows)], "node bigint, fps array<bigint>").cache()
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(simhash, "AGREE", ((most, 3),))
+        assert {tuple(sorted((e.a, e.b))) for e in simhash.links(nodes, 3, True).collect()} == want
+    met = [simhash.grid(nodes, 3, 3, split).groupBy("cell").count().where("count > 1").agg({"count": "sum"}).first()[0] for split in (False, True)]
+    assert met[0] > 200 and met[1] < 1200 and met[1] < met[0] - 100
+
+
+def test_links_of_a_batch_are_a_forest():
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 8, 40).astype(np.uint64)
+    node = np.arange(40)
+    # The same forty nodes in three cells: all pairs are near.
+    key = np.repeat(np.arange(3), 40)
+    a, b = simhash.spanning(*simhash.links_in_cells(key, np.tile(fp, 3), np.tile(node, 3), 3))
+    assert len(a) == 39 and {*a.tolist(), *b.tolist()} == set(range(40))
+    assert [len(x) for x in simhash.spanning(a[:0], b[:0])] == [0, 0]
