@@ -14,7 +14,7 @@ def grid(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["agg_edge_frequency"])
+@pytest.mark.parametrize("name", ["agg_edge_frequency", "haversine_m"])
 def test_lesser_group_first(spark, grid, monkeypatch, name):
     """The SQL leaves the order of such groups open, so a copy that fixes it is compared."""
     monkeypatch.setattr(H, "DATA", str(grid.parent))
