@@ -84,7 +84,9 @@ def walk_minutes(spark, d):
 def estimate_minutes(spark, d):
     leg = F.col("m") / 1000 * P.DETOUR[0] / P.SPEED_KMH[0] * 60 + P.DWELL_MIN[0]
     w = Window.partitionBy("pat").orderBy("pos", "g").rowsBetween(Window.unboundedPreceding, -1)
-    return _hops(spark, d).select("pat", "pos", F.round(F.coalesce(F.sum(leg).over(w), F.lit(0.0)), 4).alias("minutes"))
+    # Thousands of doubles added one by one are off in the fourth place; decimals are not.
+    total = F.sum(leg.cast("decimal(38,18)")).over(w).cast("double")
+    return _hops(spark, d).select("pat", "pos", F.round(F.coalesce(total, F.lit(0.0)), 4).alias("minutes"))
 
 
 @query(V.with_views("select trip, pos, g from st", "st"))
