@@ -1,0 +1,14 @@
+"""A supplier's key held by two rows, as in copies of a table whose keys are shifted too little."""
+
+import harness as H
+
+from stopgrid.catalog import QUERIES, SQL
+
+
+def test_length_of_lines(spark, tmp_path, monkeypatch):
+    """A stop of row 5 and of column 9 is one group given twice."""
+    d = tmp_path / "twice"
+    d.mkdir()
+    H.connect("sf0.001").execute(f"copy (select k s_suppkey, k::varchar s_name, (k % 25)::int s_nationkey, 1.0::double s_acctbal from (select unnest(range(70) || [59]) k)) to '{d}/supplier.parquet'")
+    monkeypatch.setattr(H, "DATA", str(tmp_path))
+    assert H.differ(spark, H.connect("twice"), QUERIES["agg_line"], SQL["agg_line"], "twice") is None
